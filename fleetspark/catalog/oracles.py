@@ -507,7 +507,7 @@ TO_DEPOT = distance_m("gps_longitude", "gps_latitude", str(DEPOT[0]), str(DEPOT[
 oracle(
     "haversine_pairs",
     f"SELECT event_id, {r6(f'{TO_DEPOT} / 1000')} AS km, {r6(f'{TO_DEPOT} / 1609.344')} AS miles, "
-    f"{r6(TO_DEPOT)} AS m FROM telemetry",
+    f"round({TO_DEPOT} + 1e-6, 3) AS m FROM telemetry",
 )
 for name in ("zone_counts", "zone_table_counts"):
     oracle(

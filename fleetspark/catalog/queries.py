@@ -17,8 +17,9 @@ from fleetspark.functions.expressions import HOUR, MINUTE, TEN_MINUTES
 from fleetspark.functions.labels import SHORT_LABEL
 from fleetspark.operators import clean, cluster, explore, geo, grid, reports, sampling, sessions
 from fleetspark.operators.explore import rounded
-from fleetspark.schema import KEY, MA_COLUMNS, TELEMETRY, TIME
+from fleetspark.schema import KEY, MA_COLUMNS, RAW_SCHEMA, TELEMETRY, TIME
 from fleetspark.sources.events import telemetry
+from fleetspark.sources.tables import local_table
 
 ORDER = (TIME, "event_id")
 TIES = {"order": ORDER, "unique_order": True}
@@ -51,7 +52,7 @@ def round_doubles(df: DataFrame, *names: str) -> DataFrame:
 
 
 def centers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CENTERS, "x double, y double")
+    return local_table(spark, CENTERS, "x double, y double")
 
 
 def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +79,8 @@ def raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = telemetry(spark, sf_dir).select(
         *[F.col(c).cast("string").alias(c) for c in TELEMETRY]
     )
-    header = spark.range(1).select(
-        *[F.lit(clean.HEADER_TEXT if c == TIME else c).alias(c) for c in TELEMETRY]
-    )
+    names = [clean.HEADER_TEXT if c == TIME else c for c in TELEMETRY]
+    header = spark.createDataFrame([names], RAW_SCHEMA)
     return clean.union_all(header, text)
 
 
@@ -362,10 +362,10 @@ def global_bbox(spark, sf_dir):
 def haversine_pairs(spark, sf_dir):
     """Distance of every row from one place, in the three units."""
     there = ("gps_longitude", "gps_latitude", F.lit(DEPOT[0]), F.lit(DEPOT[1]))
-    rows = telemetry(spark, sf_dir)
-    return round_doubles(
-        rows.select("event_id", *[haversine(*there, units=u).alias(u) for u in ("km", "miles", "m")])
+    pairs = telemetry(spark, sf_dir).select(
+        "event_id", *[haversine(*there, units=u).alias(u) for u in ("km", "miles", "m")]
     )
+    return round_doubles(pairs, "km", "miles").withColumn("m", rounded("m", 3))
 
 
 @query
@@ -376,7 +376,8 @@ def zone_counts(spark, sf_dir):
 @query
 def zone_table_counts(spark, sf_dir):
     """As `zone_counts`, with the zones in a table met by an equality join on cells."""
-    zones = spark.createDataFrame(
+    zones = local_table(
+        spark,
         [(z.zone_id, *z.box) for z in geo.DEFAULT_ZONES],
         "zone_id int, left double, bottom double, right double, top double",
     )
@@ -462,7 +463,7 @@ def in_field(spark, sf_dir):
 def nearest_center(spark, sf_dir):
     rows = minutes(spark, sf_dir)
     return round_doubles(
-        geo.nearest_center(rows, CENTERS).select("event_id", "nearest_km"), "nearest_km"
+        geo.nearest_center(rows, centers(spark)).select("event_id", "nearest_km"), "nearest_km"
     )
 
 

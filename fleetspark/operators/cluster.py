@@ -6,23 +6,29 @@ These functions act when called: k-means needs several passes over its points.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspark.operators.geo import DEFAULT_ZONES, LAT, LON, Zone, in_bbox
+from fleetspark.operators.geo import DEFAULT_ZONES, LAT, LON, Zone, assign_zones
 from fleetspark.operators.sampling import every_nth
 from fleetspark.schema import KEY, TIME
+from fleetspark.sources.tables import local_table
 
 # Fuel average that marks field work, thinning step and largest k.
 HIGH_FUEL = 30
 THINNING = 30
 K_MAX = 18
 
+MAX_ITER = 20
+# A centre that moves less than this (about 0.1 m) has settled.
+TOLERANCE_DEG = 1e-6
+
 
 def high_load_points(
     df: DataFrame, threshold: float = HIGH_FUEL, column: str = "fuel_ma_10m"
@@ -42,24 +48,30 @@ def _vectors(points: DataFrame, lon: str, lat: str) -> DataFrame:
 
 
 def _fit(vectors: DataFrame, k: int, seed: int, max_iter: int):
-    return KMeans(k=k, seed=seed, maxIter=max_iter, tol=1e-9).fit(vectors)
+    return KMeans(k=k, seed=seed, maxIter=max_iter, tol=TOLERANCE_DEG).fit(vectors)
 
 
 def wss_curve(
     points: DataFrame,
     k_max: int = K_MAX,
     seed: int = 1,
-    max_iter: int = 50,
+    max_iter: int = MAX_ITER,
     lon: str = LON,
     lat: str = LAT,
     silhouette: bool = False,
+    parallelism: int = 4,
 ) -> DataFrame:
     """(k, wss) for k = 1 … k_max; with `silhouette` also that score (NULL for k = 1).
 
-    Runs one distributed k-means per k; the result has k_max rows.
+    Runs one distributed k-means per k, several at a time; the result has k_max rows.
     """
-    spark = points.sparkSession
     vectors = _vectors(points, lon, lat).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def score(k: int) -> tuple[int, float, float | None]:
+        model = _fit(vectors, k, seed, max_iter)
+        shape = ClusteringEvaluator().evaluate(model.transform(vectors)) if silhouette else None
+        return k, float(model.summary.trainingCost), shape
+
     try:
         one = (
             points.dropna(subset=[lon, lat])
@@ -67,15 +79,13 @@ def wss_curve(
             .first()
         )
         rows = [(1, one.n * ((one.vx or 0.0) + (one.vy or 0.0)), None)]
-        for k in range(2, min(k_max, one.n) + 1):
-            model = _fit(vectors, k, seed, max_iter)
-            score = (
-                ClusteringEvaluator().evaluate(model.transform(vectors)) if silhouette else None
-            )
-            rows.append((k, float(model.summary.trainingCost), score))
+        spark = points.sparkSession
+        with ThreadPool(parallelism) as pool:
+            run = inheritable_thread_target(spark)(score)
+            rows += pool.map(run, range(2, min(k_max, one.n) + 1))
     finally:
         vectors.unpersist()
-    curve = spark.createDataFrame(rows, "k int, wss double, silhouette double")
+    curve = local_table(spark, rows, "k int, wss double, silhouette double")
     return curve if silhouette else curve.drop("silhouette")
 
 
@@ -89,7 +99,7 @@ def kmeans_centers(
     points: DataFrame,
     k: int,
     seed: int = 1,
-    max_iter: int = 50,
+    max_iter: int = MAX_ITER,
     lon: str = LON,
     lat: str = LAT,
 ) -> DataFrame:
@@ -102,7 +112,7 @@ def kmeans_centers(
     finally:
         vectors.unpersist()
     rows = sorted((float(x), float(y)) for x, y in found)
-    return points.sparkSession.createDataFrame(rows, "x double, y double")
+    return local_table(points.sparkSession, rows, "x double, y double")
 
 
 def kmeans_minus_minus(
@@ -110,8 +120,8 @@ def kmeans_minus_minus(
     k: int,
     n_outliers: int = 0,
     seed: int = 1,
-    max_iter: int = 50,
-    tolerance: float = 1e-9,
+    max_iter: int = MAX_ITER,
+    tolerance: float = TOLERANCE_DEG,
     lon: str = LON,
     lat: str = LAT,
 ) -> tuple[DataFrame, DataFrame]:
@@ -125,7 +135,7 @@ def kmeans_minus_minus(
     spark = points.sparkSession
     start = kmeans_centers(points, k, seed, max_iter if n_outliers == 0 else 5, lon, lat)
     if n_outliers == 0:
-        return start, spark.createDataFrame([], "x double, y double, n bigint")
+        return start, local_table(spark, [], "x double, y double, n bigint")
 
     weighted = (
         points.select(F.col(lon).alias("x"), F.col(lat).alias("y"))
@@ -158,7 +168,7 @@ def kmeans_minus_minus(
         .filter(F.col("kept") < F.col("w"))
         .select("x", "y", (F.col("w") - F.col("kept")).alias("n"))
     )
-    return spark.createDataFrame(sorted(centers), "x double, y double"), outliers
+    return local_table(spark, sorted(centers), "x double, y double"), outliers
 
 
 def _measure(weighted: DataFrame, centers: Sequence[tuple[float, float]]) -> DataFrame:
@@ -217,23 +227,32 @@ def field_centers(
     k: int | None = None,
     k_max: int = K_MAX,
     seed: int = 1,
-    max_iter: int = 50,
+    max_iter: int = MAX_ITER,
     n_outliers: int = 0,
     order: Sequence[str] = (TIME, KEY),
+    fuel: str = "fuel_ma_10m",
 ) -> DataFrame:
     """(zone_id, x, y): centres of the high-load points of every zone.
 
     Without `k`, each zone gets the k with the lowest WSS over its thinned points.
     Zones without high-load points have no centres.
     """
-    found = sample.sparkSession.createDataFrame([], "zone_id int, x double, y double")
-    for zone in zones:
-        rows = in_bbox(sample, zone.box)
-        busy = high_load_points(rows)
-        if busy.isEmpty():
-            continue
-        chosen = k or choose_k(wss_curve(thinned(rows, (), order), k_max, seed, max_iter))
-        centers, _ = kmeans_minus_minus(busy, chosen, n_outliers, seed, max_iter)
-        centers = centers.withColumn("zone_id", F.lit(zone.zone_id)).select("zone_id", "x", "y")
-        found = found.unionByName(centers)
+    needed = dict.fromkeys(["zone_id", LON, LAT, fuel, *order])
+    zoned = assign_zones(sample, zones).select(*needed)
+    busy = high_load_points(zoned, column=fuel).select("zone_id", LON, LAT)
+    thin = every_nth(zoned, THINNING, ["zone_id"], order).select("zone_id", LON, LAT)
+    busy.persist(StorageLevel.MEMORY_AND_DISK)
+    thin.persist(StorageLevel.MEMORY_AND_DISK)
+    found = local_table(sample.sparkSession, [], "zone_id int, x double, y double")
+    try:
+        occupied = {row.zone_id for row in busy.select("zone_id").distinct().collect()}
+        for zone_id in (zone.zone_id for zone in zones if zone.zone_id in occupied):
+            here = F.col("zone_id") == zone_id
+            chosen = k or choose_k(wss_curve(thin.filter(here), k_max, seed, max_iter))
+            centers, _ = kmeans_minus_minus(busy.filter(here), chosen, n_outliers, seed, max_iter)
+            placed = centers.select(F.lit(zone_id).alias("zone_id"), "x", "y")
+            found = found.unionByName(placed)
+    finally:
+        busy.unpersist()
+        thin.unpersist()
     return found

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from fleetspark.functions.labels import MA_LABEL, NIL_LABEL, PLAIN_LABEL, SAMPLE
 from fleetspark.operators.quantiles import exact_quantiles, medians, melt, quantiles_long
 from fleetspark.operators.sampling import add_moving_averages, sample_first, sample_with_averages
 from fleetspark.schema import KEY, MA_COLUMNS, NUMERIC, TELEMETRY, TIME
+from fleetspark.sources.tables import local_table
 
 LABEL_FRAME = {"": 60}
 
@@ -462,28 +465,15 @@ def column_summary(df: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
     """Pearson correlation of every pair of columns, NULLs taken as 0.
 
-    One aggregate in one pass; a pair with a constant column gives NaN.
+    Acts when called; the result has one row per pair.  A pair with a constant column
+    gives NaN.
     """
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    spread = {c: f"s{i}" for i, c in enumerate(columns)}
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    shared = {pair: f"p{i}" for i, pair in enumerate(pairs)}
-    sums = filled.agg(
-        *[F.stddev_pop(c).alias(name) for c, name in spread.items()],
-        *[F.covar_pop(a, b).alias(name) for (a, b), name in shared.items() if a != b],
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="features").transform(filled)
+    matrix = Correlation.corr(vectors, "features").first()[0].toArray()
+    rows = [
+        (a, b, float(matrix[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)
+    ]
+    return local_table(
+        df.sparkSession, rows, "column_a string, column_b string, correlation double"
     )
-
-    def cell(a: str, b: str) -> Column:
-        scale = F.nullif(F.col(spread[a]) * F.col(spread[b]), F.lit(0.0))
-        if a == b:
-            value = scale / scale
-        else:
-            pair = (a, b) if (a, b) in shared else (b, a)
-            value = F.col(shared[pair]) / scale
-        return F.struct(
-            F.lit(a).alias("column_a"),
-            F.lit(b).alias("column_b"),
-            F.coalesce(value, F.lit(float("nan"))).alias("correlation"),
-        )
-
-    return sums.select(F.inline(F.array(*[cell(a, b) for a in columns for b in columns])))

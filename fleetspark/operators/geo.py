@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import pi, sin
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetspark.functions.expressions import EARTH_RADIUS_M, haversine
+from fleetspark.functions.expressions import EARTH_RADIUS_M, METRES_PER
 
 LON, LAT = "gps_longitude", "gps_latitude"
 
 # Degrees of latitude per kilometre on the sphere used for distances.
-DEGREES_PER_KM = 180.0 / (3.141592653589793 * EARTH_RADIUS_M / 1000.0)
+DEGREES_PER_KM = 180.0 / (pi * EARTH_RADIUS_M / 1000.0)
 NAUTICAL_MILE_DEG = 0.0167
 
 # Largest list that is written into a plan as literals.
@@ -116,47 +117,76 @@ def assign_zone_table(
     )
 
 
-def _lon_step(band: Column, band_deg: float, reach_deg: float) -> Column:
-    """Cell width of a latitude band: no less than `reach` anywhere in it or next to it."""
-    edge = F.greatest(F.abs(band - 1), F.abs(band + 2)) * F.lit(band_deg)
+def _lon_step(band: Column, reach_deg: float) -> Column:
+    """Cell width in a latitude band: `reach_deg` spans less anywhere in it or next to it."""
+    edge = F.greatest(F.abs(band - 1), F.abs(band + 2)) * F.lit(reach_deg)
     # Near the poles one cell covers all longitudes.
     return F.when(
         edge < 89, F.least(F.lit(reach_deg) / F.cos(F.radians(edge)) * 1.01, F.lit(360.0))
     ).otherwise(F.lit(360.0))
 
 
+def _unit_vector(lon: Column, lat: Column) -> list[Column]:
+    x, y = F.radians(lon), F.radians(lat)
+    return [F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)]
+
+
 def _centre_cells(centers: DataFrame, km: float, x: str, y: str) -> DataFrame:
-    """(band, cell, near): the centres within reach of each cell, as one array per cell."""
+    """(_band, _cell, _near): the centres that can be within `km` of a cell's points.
+
+    One row per cell; centres are held as places on the unit sphere.
+    """
     reach = km * DEGREES_PER_KM * 1.01
     band = F.floor(F.col(y) / F.lit(reach))
+    place = [v.alias(n) for v, n in zip(_unit_vector(F.col(x), F.col(y)), ("x", "y", "z"))]
     spread = (
-        centers.select(F.col(x).alias("x"), F.col(y).alias("y"))
+        centers.select(F.col(x).alias("lon"), band.alias("_home"), F.struct(*place).alias("_place"))
         .distinct()
-        .withColumn("_band", F.explode(F.sequence(band - 1, band + 1)))
-        .withColumn("_step", _lon_step(F.col("_band"), reach, reach))
+        .withColumn("_band", F.explode(F.sequence(F.col("_home") - 1, F.col("_home") + 1)))
+        .withColumn("_step", _lon_step(F.col("_band"), reach))
     )
-    # A centre close to the date line is also reached from the other side of it.
     cell = lambda v: F.floor(v / F.col("_step"))
-    reached = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.sequence(
-                        cell(F.col("x") + turn) - 1,
-                        cell(F.col("x") + turn) + 1,
-                    )
-                    for turn in (-360.0, 0.0, 360.0)
-                ]
-            )
-        )
-    )
+    # A centre close to the date line is also reached from the other side of it.
+    turns = F.array(*[F.col("lon") + turn for turn in (-360.0, 0.0, 360.0)])
+    reached = F.flatten(F.transform(turns, lambda v: F.sequence(cell(v) - 1, cell(v) + 1)))
     return (
-        spread.withColumn("_cell", F.explode(reached))
+        spread.withColumn("_cell", F.explode(F.array_distinct(reached)))
         .groupBy("_band", "_cell")
-        .agg(F.collect_list(F.struct("x", "y")).alias("_near"))
+        .agg(F.collect_list("_place").alias("_near"))
     )
 
 
+def _meet_centres(
+    points: DataFrame, cells: DataFrame, km: float, small: bool, lon: str, lat: str
+) -> DataFrame:
+    """Points (with `_px`, `_py`, `_pz`) and the `_near` centres of their cell, or NULL."""
+    reach = km * DEGREES_PER_KM * 1.01
+    placed = points.withColumn("_band", F.floor(F.col(lat) / F.lit(reach))).withColumn(
+        "_cell", F.floor(F.col(lon) / _lon_step(F.col("_band"), reach))
+    )
+    cells = F.broadcast(cells) if small else cells
+    return placed.join(cells, ["_band", "_cell"], "left").drop("_band", "_cell")
+
+
+def _is_small(centers: DataFrame) -> bool:
+    return centers.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+
+
+def _with_place(points: DataFrame, lon: str, lat: str) -> DataFrame:
+    place = _unit_vector(F.col(lon), F.col(lat))
+    return points.withColumns(dict(zip(("_px", "_py", "_pz"), place)))
+
+
+def _line(c: Column) -> Column:
+    """Squared straight line from the point to a centre; grows with the distance."""
+    dx, dy, dz = F.col("_px") - c["x"], F.col("_py") - c["y"], F.col("_pz") - c["z"]
+    return dx * dx + dy * dy + dz * dz
+
+
+def _squared_line(km: float) -> float:
+    return (2 * sin(min(km * 1000 / (2 * EARTH_RADIUS_M), pi / 2))) ** 2
+
+
 def flag_in_field(
     points: DataFrame,
     centers: DataFrame,
@@ -167,44 +197,53 @@ def flag_in_field(
     x: str = "x",
     y: str = "y",
 ) -> DataFrame:
-    """Add 1 where some centre is less than `km` away, else 0.
+    """Add 1 where some centre is less than `km` away (great circle), else 0.
 
     Centres are spread over cells one radius wide, so a point meets by equality join
     only the few centres of its own cell.  The centres are counted first: up to
     `MAX_BROADCAST_ROWS` they are broadcast and points stay where they are; beyond, the
     join shuffles and adaptive execution splits crowded cells.
     """
-    reach = km * DEGREES_PER_KM * 1.01
     cells = _centre_cells(centers, km, x, y)
-    if centers.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
-        cells = F.broadcast(cells)
-    band = F.floor(F.col(lat) / F.lit(reach))
-    placed = points.withColumn("_band", band).withColumn(
-        "_cell", F.floor(F.col(lon) / _lon_step(F.col("_band"), reach, reach))
-    )
-    near = F.exists(
-        "_near", lambda c: haversine(F.col(lon), F.col(lat), c["x"], c["y"]) < F.lit(km)
-    )
-    return (
-        placed.join(cells, ["_band", "_cell"], "left")
-        .withColumn(out, F.coalesce(near, F.lit(False)).cast("int"))
-        .drop("_band", "_cell", "_near")
+    met = _meet_centres(_with_place(points, lon, lat), cells, km, _is_small(centers), lon, lat)
+    near = F.exists("_near", lambda c: _line(c) < F.lit(_squared_line(km)))
+    return met.withColumn(out, F.coalesce(near, F.lit(False)).cast("int")).drop(
+        "_near", "_px", "_py", "_pz"
     )
 
 
 def nearest_center(
     points: DataFrame,
-    centers: Sequence[tuple[float, float]],
+    centers: DataFrame,
     out: str = "nearest_km",
+    first_reach_km: float = 5.0,
     lon: str = LON,
     lat: str = LAT,
+    x: str = "x",
+    y: str = "y",
 ) -> DataFrame:
-    """Add the distance in kilometres to the closest of a list of (x, y) centres.
+    """Add the great-circle distance in kilometres to the closest centre.
 
-    The list is part of the plan: one compiled expression per row, no join.
+    Points look among the centres of their cell, first with a short reach, then a longer
+    one, until the reach is half the globe.  A find within the reach is the closest of
+    all, so the later, larger cells only cost the points far from every centre.
     """
-    if not 0 < len(centers) <= MAX_INLINE:
-        raise ValueError(f"between 1 and {MAX_INLINE} centres, got {len(centers)}")
-    distances = [haversine(F.col(lon), F.col(lat), F.lit(x), F.lit(y)) for x, y in centers]
-    closest = distances[0] if len(distances) == 1 else F.least(*distances)
-    return points.withColumn(out, closest)
+    small = _is_small(centers)
+    found = _with_place(points, lon, lat).withColumn("_best", F.lit(None).cast("double"))
+    reach_km, half_globe = first_reach_km, pi * EARTH_RADIUS_M / 1000
+    while True:
+        last = reach_km >= half_globe
+        cells = _centre_cells(centers, min(reach_km, half_globe), x, y)
+        met = _meet_centres(found, cells, min(reach_km, half_globe), small, lon, lat)
+        shortest = F.array_min(F.transform("_near", _line))
+        hit = shortest if last else F.when(shortest <= F.lit(_squared_line(reach_km)), shortest)
+        found = met.withColumn(
+            "_best", F.when(F.col("_best").isNull(), hit).otherwise(F.col("_best"))
+        ).drop("_near")
+        if last:
+            break
+        reach_km *= 16
+    half = F.least(F.sqrt("_best") / 2, F.lit(1.0))
+    return found.withColumn(
+        out, F.asin(half) * (2 * EARTH_RADIUS_M / METRES_PER["km"])
+    ).drop("_best", "_px", "_py", "_pz")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from fleetspark.schema import RAW_SCHEMA
 
@@ -58,6 +61,17 @@ def write_table(
     writer.parquet(path)
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table whose size Spark knows (no Python workers)."""
+    struct = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in struct.names]
+    arrays = [
+        pa.array(list(values), to_arrow_type(field.dataType))
+        for values, field in zip(columns, struct.fields)
+    ]
+    return spark.createDataFrame(pa.table(arrays, names=struct.names), schema=struct)
+
+
 def describe(df: DataFrame) -> list[tuple[str, str, bool]]:
     """(column, type, nullable) of a table."""
     return [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields]
