@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from math import gcd
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspark.functions.expressions import DAY, HOUR, WEEK, time_bucket
+from fleetspark.functions.expressions import HOUR, WEEK, time_bucket
 from fleetspark.operators.ordered import (
     SLICE,
     ascending,
@@ -48,10 +47,14 @@ def sample_first(
     )
 
 
-def _frame_averages(
-    columns: Mapping[str, str], frames: Mapping[str, int], keys: Sequence[str], order: Sequence[str]
-) -> tuple[dict[str, Column], dict[str, Column]]:
-    """Helper columns and averages over frames of n preceding rows plus the current one.
+def _with_frame_averages(
+    rows: DataFrame,
+    columns: Mapping[str, str],
+    frames: Mapping[str, int],
+    keys: Sequence[str],
+    order: Sequence[str],
+) -> DataFrame:
+    """Add averages over frames of n preceding rows plus the current one.
 
     When every frame is a multiple of one step, each average is put together from the
     current value and step-long sums looked up 1, 1+step, 1+2*step … rows back.  A row
@@ -60,31 +63,40 @@ def _frame_averages(
     w = Window.partitionBy(*keys, SLICE).orderBy(*ascending(order))
     step = reduce(gcd, frames.values())
     if not step or max(frames.values()) // step > MAX_LOOK_BACKS:
-        return {}, {
-            f"{name}_ma_{label}": F.avg(column).over(w.rowsBetween(-n, 0))
-            for label, n in frames.items()
-            for name, column in columns.items()
-        }
-
-    helpers, averages = {}, {}
-    for name, column in columns.items():
-        short = w.rowsBetween(-(step - 1), 0)
-        helpers[f"_sum_{name}"] = F.sum(column).over(short)
-        helpers[f"_cnt_{name}"] = F.count(column).over(short)
-
-    def looked_up(helper: str, current: Column, n: int) -> Column:
-        back = [
-            F.coalesce(F.lag(helper, 1 + i * step).over(w), F.lit(0)) for i in range(n // step)
-        ]
-        return reduce(add, back, current)
-
-    for label, n in frames.items():
-        for name, column in columns.items():
-            value = F.col(column).cast("double")
-            total = looked_up(f"_sum_{name}", F.coalesce(value, F.lit(0.0)), n)
-            count = looked_up(f"_cnt_{name}", value.isNotNull().cast("int"), n)
-            averages[f"{name}_ma_{label}"] = total / F.nullif(count, F.lit(0))
-    return helpers, averages
+        return rows.withColumns(
+            {
+                f"{name}_ma_{label}": F.avg(column).over(w.rowsBetween(-n, 0))
+                for label, n in frames.items()
+                for name, column in columns.items()
+            }
+        )
+
+    short = w.rowsBetween(-(step - 1), 0)
+    sums = [F.sum(column).over(short).alias(f"sum_{name}") for name, column in columns.items()]
+    counts = [F.count(column).over(short).alias(f"n_{name}") for name, column in columns.items()]
+    look_backs = range(max(frames.values()) // step)
+    back = [f"_back{i}" for i in look_backs]
+
+    def average(name: str, column: str, n: int) -> Column:
+        used = back[: n // step]
+        total = [f"`{column}`", *(f"{b}.sum_{name}" for b in used)]
+        count = [f"int(`{column}` IS NOT NULL)", *(f"{b}.n_{name}" for b in used)]
+        both = (" + ".join(f"coalesce({x}, {zero})" for x in xs)
+                for xs, zero in ((total, "0D"), (count, "0")))
+        return F.expr("({}) / nullif({}, 0)".format(*both))
+
+    return (
+        rows.withColumn("_step", F.struct(*sums, *counts))
+        .withColumns({b: F.lag("_step", 1 + i * step).over(w) for i, b in enumerate(back)})
+        .withColumns(
+            {
+                f"{name}_ma_{label}": average(name, column, n)
+                for label, n in frames.items()
+                for name, column in columns.items()
+            }
+        )
+        .drop("_step", *back)
+    )
 
 
 def add_moving_averages(
@@ -109,13 +121,8 @@ def add_moving_averages(
     narrow = list(dict.fromkeys([*keys, SLICE, *order, *columns.values()]))
     source = sliced if source is None else with_slice(source, slice_seconds)
     rows = with_preceding_rows(sliced, source.select(*narrow), keys, order, max(frames.values()))
-    helpers, averages = _frame_averages(columns, frames, keys, order)
-    return (
-        rows.withColumns(helpers)
-        .withColumns(averages)
-        .filter(~F.col("_copied"))
-        .drop("_copied", SLICE, *helpers)
-    )
+    averaged = _with_frame_averages(rows, columns, frames, keys, order)
+    return averaged.filter(~F.col("_copied")).drop("_copied", SLICE)
 
 
 def sample_with_averages(
