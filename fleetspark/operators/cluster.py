@@ -12,7 +12,7 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspark.operators.geo import DEFAULT_ZONES, LAT, LON, Zone, assign_zones
@@ -41,14 +41,25 @@ def thinned(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str] = (TIM
     return every_nth(df, THINNING, keys, order)
 
 
-def _vectors(points: DataFrame, lon: str, lat: str) -> DataFrame:
-    xy = points.select(F.col(lon).alias("x"), F.col(lat).alias("y")).dropna()
-    assembler = VectorAssembler(inputCols=["x", "y"], outputCol="features")
-    return assembler.transform(xy).select("features")
+def _weighted(points: DataFrame, lon: str, lat: str) -> DataFrame:
+    """One row (x, y, w) per position, so that copies of a point cost nothing later."""
+    return (
+        points.select(F.col(lon).alias("x"), F.col(lat).alias("y"))
+        .dropna()
+        .groupBy("x", "y")
+        .agg(F.count("*").alias("w"))
+    )
+
+
+def _vectors(weighted: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(weighted)
 
 
 def _fit(vectors: DataFrame, k: int, seed: int, max_iter: int):
-    return KMeans(k=k, seed=seed, maxIter=max_iter, tol=TOLERANCE_DEG).fit(vectors)
+    # A small table needs more sampling rounds to be sure of k starting centres.
+    few = vectors.limit(100 * k + 1).count() <= 100 * k
+    means = KMeans(k=k, seed=seed, maxIter=max_iter, tol=TOLERANCE_DEG, weightCol="w")
+    return means.setInitSteps(8 if few else 2).fit(vectors)
 
 
 def wss_curve(
@@ -63,26 +74,31 @@ def wss_curve(
 ) -> DataFrame:
     """(k, wss) for k = 1 … k_max; with `silhouette` also that score (NULL for k = 1).
 
-    Runs one distributed k-means per k, several at a time; the result has k_max rows.
+    Runs one distributed k-means per k, several at a time; the result has k_max rows, or
+    one per position if there are fewer.
     """
-    vectors = _vectors(points, lon, lat).persist(StorageLevel.MEMORY_AND_DISK)
+    spark = points.sparkSession
+    vectors = _vectors(_weighted(points, lon, lat)).persist(StorageLevel.MEMORY_AND_DISK)
 
     def score(k: int) -> tuple[int, float, float | None]:
         model = _fit(vectors, k, seed, max_iter)
-        shape = ClusteringEvaluator().evaluate(model.transform(vectors)) if silhouette else None
+        shape = None
+        if silhouette:
+            shape = ClusteringEvaluator(weightCol="w").evaluate(model.transform(vectors))
         return k, float(model.summary.trainingCost), shape
 
     try:
-        one = (
-            points.dropna(subset=[lon, lat])
-            .agg(F.count("*").alias("n"), F.var_pop(lon).alias("vx"), F.var_pop(lat).alias("vy"))
-            .first()
+        n = vectors.limit(k_max + 1).count()
+        flat = points.dropna(subset=[lon, lat]).agg(
+            F.count("*").alias("n"), F.var_pop(lon).alias("vx"), F.var_pop(lat).alias("vy")
         )
-        rows = [(1, one.n * ((one.vx or 0.0) + (one.vy or 0.0)), None)]
-        spark = points.sparkSession
+        one = flat.first()
+        rows = [(1, one.n * (one.vx + one.vy), None)] if n else []
         with ThreadPool(parallelism) as pool:
             run = inheritable_thread_target(spark)(score)
-            rows += pool.map(run, range(2, min(k_max, one.n) + 1))
+            rows += pool.map(run, range(2, min(k_max + 1, n)))
+        if 1 < n <= k_max:
+            rows.append((n, 0.0, None))  # every position is a centre
     finally:
         vectors.unpersist()
     curve = local_table(spark, rows, "k int, wss double, silhouette double")
@@ -103,16 +119,26 @@ def kmeans_centers(
     lon: str = LON,
     lat: str = LAT,
 ) -> DataFrame:
-    """(x, y) of k centres; plain Euclidean distance in degrees."""
-    if k == 1:
-        return points.dropna(subset=[lon, lat]).agg(F.avg(lon).alias("x"), F.avg(lat).alias("y"))
-    vectors = _vectors(points, lon, lat).persist(StorageLevel.MEMORY_AND_DISK)
+    """(x, y) of k centres; plain Euclidean distance in degrees.
+
+    Fewer than k positions are all returned as centres.
+    """
+    weighted = _weighted(points, lon, lat).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        found = _fit(vectors, k, seed, max_iter).clusterCenters()
+        centers = _centers(weighted, k, seed, max_iter)
     finally:
-        vectors.unpersist()
-    rows = sorted((float(x), float(y)) for x, y in found)
-    return local_table(points.sparkSession, rows, "x double, y double")
+        weighted.unpersist()
+    return local_table(points.sparkSession, centers, "x double, y double")
+
+
+def _centers(weighted: DataFrame, k: int, seed: int, max_iter: int) -> list[tuple[float, float]]:
+    if weighted.limit(k + 1).count() <= k:
+        return sorted((r.x, r.y) for r in weighted.select("x", "y").collect())  # at most k rows
+    if k == 1:
+        mean = lambda c: (F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c)
+        return [tuple(weighted.agg(mean("x"), mean("y")).first())]
+    model = _fit(_vectors(weighted), k, seed, max_iter)
+    return sorted((float(x), float(y)) for x, y in model.clusterCenters())
 
 
 def kmeans_minus_minus(
@@ -121,47 +147,32 @@ def kmeans_minus_minus(
     n_outliers: int = 0,
     seed: int = 1,
     max_iter: int = MAX_ITER,
-    tolerance: float = TOLERANCE_DEG,
     lon: str = LON,
     lat: str = LAT,
 ) -> tuple[DataFrame, DataFrame]:
     """Centres (x, y) and outliers (x, y, n) of k-means with the farthest points set aside.
 
-    Each round measures every point against the current centres, leaves out the
-    `n_outliers` farthest ones and averages the rest (Chawla and Gionis, 2013).  Equal
-    points are one weighted row, so copies cost nothing.  With no outliers this is plain
-    k-means.
+    Each round measures every position against the current centres, leaves out the
+    `n_outliers` farthest points and averages the rest (Chawla and Gionis, 2013).  With
+    no outliers this is plain k-means.
     """
     spark = points.sparkSession
-    start = kmeans_centers(points, k, seed, max_iter if n_outliers == 0 else 5, lon, lat)
     if n_outliers == 0:
-        return start, local_table(spark, [], "x double, y double, n bigint")
+        centers = kmeans_centers(points, k, seed, max_iter, lon, lat)
+        return centers, local_table(spark, [], "x double, y double, n bigint")
 
-    weighted = (
-        points.select(F.col(lon).alias("x"), F.col(lat).alias("y"))
-        .dropna()
-        .groupBy("x", "y")
-        .agg(F.count("*").alias("w"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    centers = [(r.x, r.y) for r in start.collect()]  # k rows
+    weighted = _weighted(points, lon, lat).persist(StorageLevel.MEMORY_AND_DISK)
+    centers = _centers(weighted, k, seed, max_iter=5)
     for _ in range(max_iter):
         split = _set_aside(_measure(weighted, centers), n_outliers)
-        means = (
-            split.filter(F.col("kept") > 0)
-            .groupBy("c")
-            .agg(
-                (F.sum(F.col("x") * F.col("kept")) / F.sum("kept")).alias("x"),
-                (F.sum(F.col("y") * F.col("kept")) / F.sum("kept")).alias("y"),
-            )
-            .collect()  # at most k rows
-        )
+        mean = lambda c: (F.sum(F.col(c) * F.col("kept")) / F.sum("kept")).alias(c)
+        means = split.filter(F.col("kept") > 0).groupBy("c").agg(mean("x"), mean("y"))
         moved = list(centers)
-        for row in means:
+        for row in means.collect():  # at most k rows
             moved[row.c] = (row.x, row.y)
         shift = max(abs(a - b) for old, new in zip(centers, moved) for a, b in zip(old, new))
         centers = moved
-        if shift <= tolerance:
+        if shift <= TOLERANCE_DEG:
             break
     outliers = (
         _set_aside(_measure(weighted, centers), n_outliers)
@@ -184,41 +195,41 @@ def _measure(weighted: DataFrame, centers: Sequence[tuple[float, float]]) -> Dat
     return weighted.withColumn("_near", nearest).select("x", "y", "w", "_near.d", "_near.c")
 
 
+def _edge(measured: DataFrame, ranges: str, n: Column) -> tuple[Column, Column]:
+    """The distance range in which the n-th farthest point lies, and how many to take there."""
+    farther = Window.orderBy(F.col(ranges).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    table = (
+        measured.groupBy(ranges)
+        .agg(F.sum("w").alias("_w"))
+        .withColumn("_farther", F.coalesce(F.sum("_w").over(farther), F.lit(0)))
+        .filter((F.col("_farther") < n) & (F.col("_farther") + F.col("_w") >= n))
+    )
+    return table.select(ranges).scalar(), n - table.select("_farther").scalar()
+
+
 def _set_aside(measured: DataFrame, n: int) -> DataFrame:
     """Add `kept`, the weight left after taking away the n farthest points.
 
-    Ranges of distance are accumulated first; only the range where the n-th point lies
-    is put in order.
+    Distances are counted in coarse ranges, then in fine ones inside the coarse range
+    that matters; only positions as far away as the n-th to seven digits are put in order.
     """
-    size = F.floor(F.log2(F.col("d") + F.lit(1e-300)) * 1024)
-    ranged = measured.withColumn("_range", size)
-    farther = Window.orderBy(F.col("_range").desc())
-    ranges = (
-        ranged.groupBy("_range")
-        .agg(F.sum("w").alias("_w"))
-        .withColumn("_farther", F.sum("_w").over(farther) - F.col("_w"))
-    )
-    # The single range in which the count of farther points passes n, as a scalar.
-    edge = ranges.filter(
-        (F.col("_farther") < n) & (F.col("_farther") + F.col("_w") >= n)
-    )
-    edge_range = edge.select("_range").scalar()
-    left_over = F.lit(n) - edge.select("_farther").scalar()
-    inside = ranged.withColumn("_edge", F.col("_range") == edge_range)
+    size = F.log2(F.col("d") + F.lit(1e-300)) * 1024
+    ranged = measured.withColumns({"_coarse": F.floor(size), "_fine": F.floor(size * 4096)})
+    coarse, left = _edge(ranged, "_coarse", F.lit(n))
+    fine, left = _edge(ranged.filter(F.col("_coarse") == coarse), "_fine", left)
     within = Window.orderBy(F.col("d").desc(), "x", "y").rowsBetween(Window.unboundedPreceding, -1)
     border = (
-        inside.filter("_edge")
+        ranged.filter(F.col("_fine") == fine)
         .withColumn("_taken", F.coalesce(F.sum("w").over(within), F.lit(0)))
         .withColumn(
-            "kept",
-            F.col("w") - F.least(F.col("w"), F.greatest(left_over - F.col("_taken"), F.lit(0))),
+            "kept", F.col("w") - F.least(F.col("w"), F.greatest(left - F.col("_taken"), F.lit(0)))
         )
         .drop("_taken")
     )
-    rest = inside.filter(~F.col("_edge")).withColumn(
-        "kept", F.when(F.col("_range") > edge_range, F.lit(0)).otherwise(F.col("w"))
+    rest = ranged.filter(F.col("_fine") != fine).withColumn(
+        "kept", F.when(F.col("_fine") > fine, F.lit(0)).otherwise(F.col("w"))
     )
-    return border.unionByName(rest).drop("_range", "_edge")
+    return border.unionByName(rest).drop("_coarse", "_fine")
 
 
 def field_centers(

@@ -12,10 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspark.functions import minute_gap
-from fleetspark.functions.expressions import DAY, WEEK, epoch_seconds
+from fleetspark.functions import minute_gap, safe_ratio
+from fleetspark.functions.expressions import WEEK, epoch_seconds
 from fleetspark.operators.geo import LAT, LON
-from fleetspark.operators.ordered import SLICE, ascending, with_position, with_slice
+from fleetspark.operators.ordered import SLICE, ascending, with_slice
 from fleetspark.schema import KEY, TIME
 
 # Longest pause inside a session in minutes, shortest session in rows,
@@ -26,6 +26,8 @@ CONTINUES, BREAKS = 1, 2
 # Fixed value: degrees added around a session's box when looking for centres.
 SESSION_PAD = 0.0216916
 
+TRACED = ("speed_gearbox_km_h", "engine_rpm")
+
 
 def _symbol(gap: Column, idle_minutes: int) -> Column:
     """1 if the next row follows within the pause; 2 at a break or at the last row."""
@@ -211,21 +213,29 @@ def session_trace(
     `field_flag` is the site flag times the session's mean speed, `parking_flag` the brake
     flag times a tenth of its mean engine speed.
     """
-    positioned = with_position(sessions, [KEY], order, "_position", slice_seconds)
+    sliced = with_slice(sessions, slice_seconds)
+    session, by = [KEY, "session_id"], [KEY, "session_id", SLICE]
+    total = lambda c: F.sum(c).over(Window.partitionBy(*session))
+    before = Window.partitionBy(*session).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     stats = (
-        positioned.groupBy(KEY, "session_id")
+        sliced.groupBy(*by)
         .agg(
             F.count("*").alias("_n"),
-            F.min("_position").alias("_start"),
-            F.avg("speed_gearbox_km_h").alias("_speed"),
-            F.avg("engine_rpm").alias("_rpm"),
+            *[F.sum(c).alias(f"_sum_{c}") for c in TRACED],
+            *[F.count(c).alias(f"_n_{c}") for c in TRACED],
         )
-        .filter(F.col("_n") >= min_rows)
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .withColumn("_size", total("_n"))
+        .withColumns({f"_mean_{c}": safe_ratio(total(f"_sum_{c}"), total(f"_n_{c}")) for c in TRACED})
+        .filter(F.col("_size") >= min_rows)
+        .select(*by, "_before", *[f"_mean_{c}" for c in TRACED])
     )
+    here = Window.partitionBy(*by).orderBy(*ascending(order))
     return (
-        positioned.join(stats, [KEY, "session_id"])
-        .withColumn("row_index", F.col("_position") - F.col("_start") + 1)
-        .withColumn("field_flag", F.col("in_field") * F.col("_speed"))
-        .withColumn("parking_flag", F.col("parking_break_status") * F.col("_rpm") / 10)
-        .drop("_position", "_n", "_start", "_speed", "_rpm")
+        sliced.withColumn("_rn", F.row_number().over(here))
+        .join(stats, by)
+        .withColumn("row_index", F.col("_before") + F.col("_rn"))
+        .withColumn("field_flag", F.col("in_field") * F.col("_mean_speed_gearbox_km_h"))
+        .withColumn("parking_flag", F.col("parking_break_status") * F.col("_mean_engine_rpm") / 10)
+        .drop(SLICE, "_rn", "_before", *[f"_mean_{c}" for c in TRACED])
     )
