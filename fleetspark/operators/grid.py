@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetspark.operators.geo import DEFAULT_ZONES, LAT, LON, Box, Zone, assign_zones, bbox
+from fleetspark.operators.geo import DEFAULT_ZONES, LAT, LON, Box, Zone, assign_zones, bbox, in_bbox
 
 # Cell sizes in degrees and the row counts that make a cell dense.
 GLOBAL_STEP, ZONE_STEP = 1 / 60 / 2, 1 / 240
@@ -30,9 +30,9 @@ def cell_index(value: Column, low: Column, high: Column, n: Column) -> Column:
     return F.coalesce(F.least(F.greatest(index, F.lit(1)), n.cast("long")), F.lit(1)).cast("int")
 
 
-def _scalar(one_row: DataFrame, column: str) -> Column:
-    """A value of a one-row result as a scalar subquery."""
-    return one_row.select(column).scalar()
+def _extent(df: DataFrame, pad: float = 0.0, lon: str = LON, lat: str = LAT) -> Column:
+    """The box of the data as one scalar subquery with four fields."""
+    return bbox(df, pad, lon, lat).select(F.struct(*Box._fields)).scalar()
 
 
 def _as_column(n: int | Column) -> Column:
@@ -49,18 +49,16 @@ def with_cells(
 ) -> DataFrame:
     """Add cell numbers ix, iy over the extent of the data, or over `box` if given."""
     if box is None:
-        extent = bbox(df, 0.0, lon, lat)
-        edges = {side: _scalar(extent, side) for side in Box._fields}
+        edges = _extent(df, 0.0, lon, lat)
     else:
-        df = df.filter(
-            F.col(lon).between(box.left, box.right) & F.col(lat).between(box.bottom, box.top)
-        )
-        edges = {side: F.lit(value) for side, value in box._asdict().items()}
-    return df.withColumns(
-        {
-            "ix": cell_index(F.col(lon), edges["left"], edges["right"], _as_column(nx)),
-            "iy": cell_index(F.col(lat), edges["bottom"], edges["top"], _as_column(ny)),
-        }
+        df = in_bbox(df, box, lon=lon, lat=lat)
+        edges = F.struct(*[F.lit(value).alias(side) for side, value in box._asdict().items()])
+    side = lambda name: F.col(f"_edges.{name}")
+    return (
+        df.withColumn("_edges", edges)
+        .withColumn("ix", cell_index(F.col(lon), side("left"), side("right"), _as_column(nx)))
+        .withColumn("iy", cell_index(F.col(lat), side("bottom"), side("top"), _as_column(ny)))
+        .drop("_edges")
     )
 
 
@@ -131,11 +129,19 @@ def candidate_fields(
     The number of cells comes from the extent with a margin; the cells cover the extent
     of the data itself.
     """
-    padded = bbox(df, margin)
-    nx = F.ceil((_scalar(padded, "right") - _scalar(padded, "left")) / step_deg)
-    ny = F.ceil((_scalar(padded, "top") - _scalar(padded, "bottom")) / step_deg)
-    return grid_count(df, nx, ny).agg(
-        F.max(nx).alias("cells_x"),
-        F.max(ny).alias("cells_y"),
-        F.count_if(F.col("n") > cutoff).alias("n_candidates"),
+    cells = lambda low, high: F.ceil(
+        (F.col(f"_padded.{high}") - F.col(f"_padded.{low}")) / F.lit(step_deg)
+    )
+    sized = df.withColumn("_padded", _extent(df, margin)).withColumns(
+        {"_nx": cells("left", "right"), "_ny": cells("bottom", "top")}
+    )
+    return (
+        with_cells(sized, F.col("_nx"), F.col("_ny"))
+        .groupBy("ix", "iy")
+        .agg(F.count("*").alias("n"), F.first("_nx").alias("_nx"), F.first("_ny").alias("_ny"))
+        .agg(
+            F.max("_nx").alias("cells_x"),
+            F.max("_ny").alias("cells_y"),
+            F.count_if(F.col("n") > cutoff).alias("n_candidates"),
+        )
     )

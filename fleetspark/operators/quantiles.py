@@ -21,22 +21,21 @@ def _value_range(value: str) -> F.Column:
     v = F.col(value)
     # NaN sorts after every number, infinities at the ends.
     size = F.least(F.log2(F.abs(v) + 1), F.lit(2000.0))
-    return (
-        F.when(F.isnan(v), F.lit(1 << 40))
-        .otherwise(F.floor(F.signum(v) * size * RANGES_PER_OCTAVE))
-        .cast("long")
+    place = F.when(F.isnan(v), F.lit(1 << 40)).otherwise(
+        F.floor(F.signum(v) * size * RANGES_PER_OCTAVE)
     )
+    return F.coalesce(place.cast("long"), F.lit(0))
 
 
 def melt(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row (keys, name, value) per non-NULL value of the columns."""
+    """One row (keys, name, value) per non-NULL value of the columns and non-NULL key."""
     pairs = F.array(
         *[
             F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
             for c in columns
         ]
     )
-    return df.select(*keys, F.inline(pairs)).filter(F.col("value").isNotNull())
+    return df.select(*keys, F.inline(pairs)).dropna(subset=[*keys, "name", "value"])
 
 
 def exact_quantiles(
