@@ -19,8 +19,10 @@ def as_column(c: str | Column) -> Column:
 
 
 def epoch_seconds(ts: str | Column) -> Column:
-    """Whole seconds since 1970 of a time without zone."""
-    return F.unix_seconds(as_column(ts).cast("timestamp"))
+    """Whole seconds of wall-clock time since 1970; no time zone takes part."""
+    ts = as_column(ts)
+    days = F.unix_date(F.to_date(ts)).cast("long")
+    return days * DAY + F.hour(ts) * HOUR + F.minute(ts) * MINUTE + F.second(ts)
 
 
 def time_bucket(ts: str | Column, seconds: int) -> Column:
@@ -29,11 +31,6 @@ def time_bucket(ts: str | Column, seconds: int) -> Column:
     return F.coalesce(slot, F.lit(NO_TIME))
 
 
-def bucket_start(bucket: str | Column, seconds: int) -> Column:
-    """First instant of a slot from `time_bucket`."""
-    return F.timestamp_seconds(as_column(bucket) * seconds).cast("timestamp_ntz")
-
-
 def month_of(ts: str | Column) -> Column:
     return F.date_format(as_column(ts), "yyyy-MM")
 

@@ -26,6 +26,8 @@ THINNING = 30
 K_MAX = 18
 
 MAX_ITER = 20
+# Up to so many positions, clustering passes are single tasks.
+FEW = 10_000
 # A centre that moves less than this (about 0.1 m) has settled.
 TOLERANCE_DEG = 1e-6
 
@@ -51,15 +53,28 @@ def _weighted(points: DataFrame, lon: str, lat: str) -> DataFrame:
     )
 
 
-def _vectors(weighted: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(weighted)
+def _vectors(weighted: DataFrame) -> tuple[DataFrame, int]:
+    """Positions as vectors, and their number (`FEW` + 1 stands for any larger number).
+
+    A checked few need no more than one task per pass.
+    """
+    n = weighted.limit(FEW + 1).count()
+    rows = weighted.coalesce(1) if n <= FEW else weighted
+    return VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(rows), n
 
 
-def _fit(vectors: DataFrame, k: int, seed: int, max_iter: int):
-    # A small table needs more sampling rounds to be sure of k starting centres.
-    few = vectors.limit(100 * k + 1).count() <= 100 * k
+def _fit(vectors: DataFrame, n: int, k: int, seed: int, max_iter: int):
+    # Few positions need more sampling rounds to be sure of k starting centres.
     means = KMeans(k=k, seed=seed, maxIter=max_iter, tol=TOLERANCE_DEG, weightCol="w")
-    return means.setInitSteps(8 if few else 2).fit(vectors)
+    return means.setInitSteps(8 if n <= FEW else 2).fit(vectors)
+
+
+def _spread(weighted: DataFrame) -> float:
+    """Sum of squared distances from the mean position."""
+    mean = lambda c: (F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(f"_{c}")
+    middle = weighted.agg(mean("x"), mean("y")).first()
+    away = [(F.col(c) - middle[f"_{c}"]) * (F.col(c) - middle[f"_{c}"]) for c in ("x", "y")]
+    return weighted.agg(F.sum((away[0] + away[1]) * F.col("w")).alias("wss")).first().wss
 
 
 def wss_curve(
@@ -78,22 +93,19 @@ def wss_curve(
     one per position if there are fewer.
     """
     spark = points.sparkSession
-    vectors = _vectors(_weighted(points, lon, lat)).persist(StorageLevel.MEMORY_AND_DISK)
+    weighted = _weighted(points, lon, lat).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors, n = _vectors(weighted)
+    vectors.persist(StorageLevel.MEMORY_AND_DISK)
 
     def score(k: int) -> tuple[int, float, float | None]:
-        model = _fit(vectors, k, seed, max_iter)
+        model = _fit(vectors, n, k, seed, max_iter)
         shape = None
         if silhouette:
             shape = ClusteringEvaluator(weightCol="w").evaluate(model.transform(vectors))
         return k, float(model.summary.trainingCost), shape
 
     try:
-        n = vectors.limit(k_max + 1).count()
-        flat = points.dropna(subset=[lon, lat]).agg(
-            F.count("*").alias("n"), F.var_pop(lon).alias("vx"), F.var_pop(lat).alias("vy")
-        )
-        one = flat.first()
-        rows = [(1, one.n * (one.vx + one.vy), None)] if n else []
+        rows = [(1, _spread(weighted), None)] if n else []
         with ThreadPool(parallelism) as pool:
             run = inheritable_thread_target(spark)(score)
             rows += pool.map(run, range(2, min(k_max + 1, n)))
@@ -101,6 +113,7 @@ def wss_curve(
             rows.append((n, 0.0, None))  # every position is a centre
     finally:
         vectors.unpersist()
+        weighted.unpersist()
     curve = local_table(spark, rows, "k int, wss double, silhouette double")
     return curve if silhouette else curve.drop("silhouette")
 
@@ -137,7 +150,12 @@ def _centers(weighted: DataFrame, k: int, seed: int, max_iter: int) -> list[tupl
     if k == 1:
         mean = lambda c: (F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c)
         return [tuple(weighted.agg(mean("x"), mean("y")).first())]
-    model = _fit(_vectors(weighted), k, seed, max_iter)
+    vectors, n = _vectors(weighted)
+    vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = _fit(vectors, n, k, seed, max_iter)
+    finally:
+        vectors.unpersist()
     return sorted((float(x), float(y)) for x, y in model.clusterCenters())
 
 

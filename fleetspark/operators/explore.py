@@ -19,9 +19,9 @@ from fleetspark.functions import (
     second_gap,
     time_bucket,
 )
-from fleetspark.functions.expressions import HOUR, MINUTE, TEN_MINUTES, bucket_start
+from fleetspark.functions.expressions import HOUR, MINUTE, TEN_MINUTES
 from fleetspark.functions.labels import MA_LABEL, NIL_LABEL, PLAIN_LABEL, SAMPLE_MA_LABEL
-from fleetspark.operators.quantiles import exact_quantiles, medians, melt, quantiles_long
+from fleetspark.operators.quantiles import medians, melt, quantiles_long
 from fleetspark.operators.sampling import add_moving_averages, sample_first, sample_with_averages
 from fleetspark.schema import KEY, MA_COLUMNS, NUMERIC, TELEMETRY, TIME
 from fleetspark.sources.tables import local_table
@@ -417,12 +417,12 @@ def concurrent_hours(df: DataFrame, more_than: int = 1) -> DataFrame:
     """Hours in which more than so many machines sent data."""
     return (
         df.groupBy(time_bucket(TIME, HOUR).alias("_hour"))
-        .agg(F.count_distinct(KEY).alias("machines_active"))
-        .filter(F.col("machines_active") > more_than)
-        .select(
-            F.date_format(bucket_start("_hour", HOUR), "yyyy-MM-dd HH").alias("hour"),
-            "machines_active",
+        .agg(
+            F.min(TIME).alias("_first"),
+            F.count_distinct(KEY).alias("machines_active"),
         )
+        .filter(F.col("machines_active") > more_than)
+        .select(F.date_format("_first", "yyyy-MM-dd HH").alias("hour"), "machines_active")
     )
 
 

@@ -116,7 +116,8 @@ def add_moving_averages(
     for raw rows that may crowd together use `sample_with_averages`.  `source` replaces
     `df` as the rows that frames may reach back to before a slice.
     """
-    order = total_order(df, [*order, *columns.values()], unique_order)
+    if not unique_order:
+        order = total_order(df, [*order, *columns.values()], False)
     sliced = with_slice(df, slice_seconds)
     narrow = list(dict.fromkeys([*keys, SLICE, *order, *columns.values()]))
     source = sliced if source is None else with_slice(source, slice_seconds)
