@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetspark.llm.base import read
+from fleetspark.llm.brown import class_scores
 from fleetspark.llm.exact import exact_duplicates
+from fleetspark.llm.lines import line_rules
 from fleetspark.llm.minhash import near_duplicates
 from fleetspark.llm.packing import pack
 from fleetspark.llm.quality import quality_scores
@@ -40,6 +42,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_scores(read(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -49,6 +59,8 @@ QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_lm_scoring": op7_lm_scoring,
+    "op8_quality_rules": op8_quality_rules,
     "op10_packing": op10_packing,
 }
 
