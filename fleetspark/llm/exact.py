@@ -1,12 +1,13 @@
 """Exact duplicates by deterministic block naming, in DataFrame operations only.
 
 Texts are cut into blocks of a fixed number of characters. Sorting the distinct blocks
-gives each an integer name; then pairs of adjacent names are sorted and named in turn,
-until one name is left per text. Texts of equal length have the same number of rounds,
+within its partition gives each an integer name; then pairs of adjacent names are sorted
+and named in turn, until one name is left per text. Texts of equal length have the same number of rounds,
 so equal (length, name) means equal text, with no chance of a collision.
 
 Texts that share neither length nor checksum with another differ for sure and keep out
-of the naming. Sorting is a range exchange; equal blocks meet in map-side aggregation,
+of the naming. No range sample of
+blocks reaches the driver; equal blocks meet in map-side aggregation,
 so a group of copies of any size costs one row per task.
 """
 
@@ -27,9 +28,12 @@ def normalised(text: Column) -> Column:
 
 
 def _named(parts: DataFrame, by: list[str], scratch: Scratch, step: str) -> DataFrame:
-    """Put an integer name for the values of ``by`` in their place, in sort order."""
+    """Put an integer name for the values of ``by`` in their place.
+
+    Equal values meet in one partition; each partition is sorted and numbered in order.
+    """
     names = scratch.put(
-        parts.select(*by).distinct().orderBy(*by).withColumn(NAME, F.monotonically_increasing_id()),
+        parts.select(*by).distinct().sortWithinPartitions(*by).withColumn(NAME, F.monotonically_increasing_id()),
         f"names{step}",
     )
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"n.{c}")) for c in by]
