@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetspark.llm.base import read
 from fleetspark.llm.brown import class_scores
+from fleetspark.llm.chat import formatted_chats
 from fleetspark.llm.exact import exact_duplicates
+from fleetspark.llm.langid import page_languages
 from fleetspark.llm.lines import line_rules
 from fleetspark.llm.minhash import near_duplicates
 from fleetspark.llm.packing import pack
 from fleetspark.llm.quality import quality_scores
+from fleetspark.llm.spiece import encoded
 from fleetspark.llm.substring import repeated_runs
 
 
@@ -38,10 +41,18 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatted_chats(read(spark, sf_dir, "conversations"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_languages(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_scores(read(spark, sf_dir, "documents"))
 
@@ -50,6 +61,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -58,9 +73,12 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language_id": op6_language_id,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_quality_rules": op8_quality_rules,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_packing": op10_packing,
 }
 
