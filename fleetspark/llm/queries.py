@@ -85,7 +85,7 @@ QUERIES = {
 ORACLES = {
     "op1_substring_dedup": r"""
         WITH t AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
         ),
         windows AS (
             SELECT doc_id, p, array_to_string(w[p:p + 34], ' ') AS s
@@ -97,7 +97,7 @@ ORACLES = {
         ),
         lost AS (SELECT doc_id, list(i) AS lost FROM gone GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, coalesce(len(lost), 0) AS n_removed,
-               sha256(array_to_string(list_filter(w, (x, i) -> lost IS NULL OR NOT list_contains(lost, i)), ' ')) AS kept_sha256
+               sha256(array_to_string(list_filter(w, lambda x, i: lost IS NULL OR NOT list_contains(lost, i)), ' ')) AS kept_sha256
         FROM t LEFT JOIN lost USING (doc_id)
     """,
     "op5_exact_dedup": r"""

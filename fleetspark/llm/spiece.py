@@ -143,12 +143,13 @@ class Coder:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
     def _original(self, segments: list[str]) -> list[list[int]]:
-        """Ids by the original library; a segment without a leading marker is put after a newline."""
+        """Ids by the original library; one that does not start as a text does is put after a newline."""
         if not self.model.segmented or not self.model.dummy_prefix:
             return [self.original.encode(s.replace(MARK, " ")[self.model.dummy_prefix :]) for s in segments]
         lead = len(self.original.encode("\n"))
-        texts = [s.replace(MARK, " ")[1:] if s[0] == MARK else "\n" + s for s in segments]
-        return [ids if s[0] == MARK else ids[lead:] for s, ids in zip(segments, self.original.encode(texts, num_threads=2))]
+        alone = [s[0] == MARK and len(s) > 1 for s in segments]
+        texts = [s.replace(MARK, " ")[1:] if whole else "\n" + s.replace(MARK, " ") for s, whole in zip(segments, alone)]
+        return [ids if whole else ids[lead:] for whole, ids in zip(alone, self.original.encode(texts, num_threads=2))]
 
     def learn(self, seen: set[str]) -> None:
         if len(self.known) > CACHE:
