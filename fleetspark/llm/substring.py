@@ -11,7 +11,7 @@ equal anchors at the same place, and one document has few anchors.
    travel as one row per anchor; equal (anchor, place, window hash) triples are matches.
 3. The windows that match cover maximal repeats; covered words are removed.
 
-An anchor in more than HOT texts is matched by aggregation over its windows, which
+An anchor at more than HOT places is matched by aggregation over its windows, which
 spreads over tasks; others are matched in sorted streams. No pairs are formed.
 """
 
@@ -30,11 +30,11 @@ from fleetspark.llm.base import Scratch, batch_of, chunks, hashed, mixed, packed
 
 LENGTH = 35
 SEED = 6
-HOT = 50_000
+HOT = 5_000
 
 _TEXT = pa.schema(
     [("id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("sha", pa.binary()),
-     ("anchors", pa.list_(pa.int64())), ("twice", pa.list_(pa.bool_()))]
+     ("anchors", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
 )
 _SPAN = pa.schema(
     [("anchor", pa.int64()), ("hot", pa.bool_()), ("text_key", pa.int64()), ("at", pa.int32()),
@@ -72,13 +72,13 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iter
     for batch in batches:
         for first, texts in chunks(batch):
             split = [words(t) for t in texts]
-            anchors, twice = [], []
+            anchors, times = [], []
             for got in _windows(split, length, seed):
                 if got is None:
-                    anchors.append([]), twice.append([])
+                    anchors.append([]), times.append([])
                     continue
                 found, counts = np.unique(got[1][np.unique(got[0])], return_counts=True)
-                anchors.append(signed(found)), twice.append(counts > 1)
+                anchors.append(signed(found)), times.append(counts)
             yield batch_of(
                 _TEXT,
                 id=_ids(batch, range(first, first + len(texts))),
@@ -86,7 +86,7 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iter
                 n_words=[len(ws) for ws in split],
                 sha=[hashlib.sha256(b" ".join(ws)).digest() for ws in split],
                 anchors=anchors,
-                twice=twice,
+                times=times,
             )
 
 
@@ -194,22 +194,22 @@ def repeated_runs(
     texts = scratch.put(
         source.mapInArrow(
             lambda it: _anchored(it, length, seed),
-            "id long, text_key long, n_words long, sha binary, anchors array<long>, twice array<boolean>",
+            "id long, text_key long, n_words long, sha binary, anchors array<long>, times array<long>",
         ),
         "texts",
     )
-    listed = texts.select("id", "text_key", F.explode(F.arrays_zip("anchors", "twice")).alias("x")).select(
-        "id", "text_key", F.col("x.anchors").alias("anchor"), F.col("x.twice").alias("twice")
+    listed = texts.select("id", "text_key", F.explode(F.arrays_zip("anchors", "times")).alias("x")).select(
+        "id", "text_key", F.col("x.anchors").alias("anchor"), F.col("x.times").alias("times")
     )
     # one row per anchor found in two different texts, or twice in one
     shared = (
         listed.groupBy("anchor")
-        .agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("twice").alias("twice"), F.count("*").alias("rows"))
-        .filter("low != high or twice")
-        .select("anchor", (F.col("rows") > hot).alias("hot"))
+        .agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("times").alias("most"), F.sum("times").alias("places"))
+        .filter("low != high or most > 1")
+        .select("anchor", (F.col("places") > hot).alias("hot"))
     )
     wanted = scratch.put(
-        listed.drop("twice").join(shared, "anchor")
+        listed.drop("times").join(shared, "anchor")
         .groupBy("text_key")
         .agg(F.min("id").alias("id"), F.collect_set(F.struct("anchor", "hot")).alias("listed")),
         "wanted",
@@ -235,7 +235,8 @@ def repeated_runs(
         .withColumn("step", F.explode(F.sequence(F.lit(0), F.expr("cast(length(windows) div 8 as int) - 1"))))
         .select("text_key", "at", "step", "anchor", (F.col("place") - F.col("step")).alias("place"), F.expr("substring(windows, step * 8 + 1, 8)").alias("window"))
     )
-    again = each.groupBy("anchor", "place", "window").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    # written apart, so that the join back can split a frequent window over tasks
+    again = scratch.put(each.groupBy("anchor", "place", "window").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "again")
     often = (
         each.join(again, ["anchor", "place", "window"])
         .groupBy("text_key", "at")
