@@ -10,12 +10,20 @@ from fleetspark.catalog.queries import (
     CENTERS,
     DEPOT,
     FIRST_DAY,
+    FUZZY_K,
+    FUZZY_ROUNDS,
+    GAP_K,
+    GAP_SETS,
+    GAP_SIZE,
     HOUR_END,
     HOUR_START,
     LAST_DAY,
     LOW_CUTOFF,
     MONTHS,
+    N_OUTLIERS,
+    OUTLIER_K,
     SERIALS,
+    THINNING,
 )
 from fleetspark.functions.labels import (
     MA_LABEL,
@@ -42,7 +50,7 @@ def r6(expression: str) -> str:
 
 def oracle(name: str, select: str, *ctes: str) -> None:
     base = f"telemetry AS (SELECT event_id, {TELEMETRY_SQL} FROM events)"
-    ORACLES[name] = f"WITH {', '.join([base, *ctes])}\n{select}"
+    ORACLES[name] = f"WITH RECURSIVE {', '.join([base, *ctes])}\n{select}"
 
 
 def first_rows(name: str, bucket: str, source: str = "telemetry") -> str:
@@ -586,6 +594,156 @@ oracle(
     ZONES,
     zoned("minutes"),
 )
+
+def positions_cte(name: str, source: str) -> str:
+    return (
+        f"{name} AS (SELECT zone_id AS g, gps_longitude AS x, gps_latitude AS y, count(*) AS w "
+        f"FROM {source} WHERE gps_longitude IS NOT NULL AND gps_latitude IS NOT NULL GROUP BY ALL)"
+    )
+
+
+def whole(c: str) -> str:
+    return f"CAST(floor({c} * 1e9 + 0.5) AS BIGINT)"
+
+
+def apart(x1: str, y1: str, x2: str, y2: str) -> str:
+    return f"(({x1} - {x2}) * ({x1} - {x2}) + ({y1} - {y2}) * ({y1} - {y2}))"
+
+
+def starts_ctes(p: str, pos: str, k: str, skip: int = 0) -> list[str]:
+    """`{p}starts`(g, i, x, y): the place nearest the mean, then the farthest from all before."""
+    cell = lambda c: f"least(coalesce(floor(({c} - {c}0) / nullif({c}1 - {c}0, 0) * 16), 0), 15)"
+    mean = lambda c: f"sum({whole(c)} * w)::DOUBLE / sum(w)::DOUBLE / 1e9 AS {c}m"
+    return [
+        f"{p}about AS (SELECT g, min(x) AS x0, max(x) AS x1, {mean('x')}, min(y) AS y0, max(y) AS y1, {mean('y')} FROM {pos} GROUP BY g)",
+        f"{p}few AS (SELECT * FROM (SELECT g, x, y, w, {apart('x', 'y', 'xm', 'ym')} AS near, {cell('x')} AS cx, {cell('y')} AS cy FROM {pos} JOIN {p}about USING (g)) "
+        f"QUALIFY row_number() OVER (PARTITION BY g, cx, cy ORDER BY w DESC, x, y) <= {k})",
+        f"{p}picks AS (SELECT g, 1 AS step, [x] AS xs, [y] AS ys FROM {p}few QUALIFY row_number() OVER (PARTITION BY g ORDER BY near, w DESC, x, y) = 1 "
+        f"UNION ALL SELECT g, step + 1, list_append(xs, x), list_append(ys, y) FROM (SELECT *, sum(w) OVER (PARTITION BY g ORDER BY d DESC, w DESC, x, y ROWS UNBOUNDED PRECEDING) AS taken "
+        f"FROM (SELECT p.g, p.step, p.xs, p.ys, f.x, f.y, f.w, list_min(list_transform(range(1, len(xs) + 1), lambda i: {apart('f.x', 'f.y', 'xs[i]', 'ys[i]')})) AS d "
+        f"FROM {p}picks p JOIN {p}few f USING (g) WHERE p.step < {k})) WHERE taken > {skip} QUALIFY row_number() OVER (PARTITION BY g ORDER BY taken) = 1 AND d > 0)",
+        f"{p}starts AS (SELECT g, i - 1 AS i, xs[i] AS x, ys[i] AS y FROM (SELECT g, xs, ys, unnest(range(1, len(xs) + 1)) AS i FROM {p}picks QUALIFY row_number() OVER (PARTITION BY g ORDER BY step DESC) <= len(xs)) "
+        f"QUALIFY len(xs) = max(len(xs)) OVER (PARTITION BY g))",
+    ]
+
+
+def near_select(pos: str, centres: str) -> str:
+    """(g, k, x, y, w, near.d, near.i): the nearest centre of every model, ties to the lower number."""
+    return (
+        f"SELECT p.g, q.k, p.x, p.y, p.w, min({{'d': {apart('p.x', 'p.y', 'q.x', 'q.y')}, 'i': q.i}}) AS near "
+        f"FROM {pos} p JOIN {centres} q ON q.g = p.g GROUP BY p.g, q.k, p.x, p.y, p.w"
+    )
+
+
+def kept_select(near: str, n: int) -> str:
+    """Weights left after the n farthest points of each model are taken away."""
+    if not n:
+        return f"SELECT *, w AS kept FROM ({near})"
+    before = "coalesce(sum(w) OVER (PARTITION BY g, k ORDER BY near.d DESC, x, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    return f"SELECT * EXCLUDE (taken), w - least(w, greatest({n} - taken, 0)) AS kept FROM (SELECT *, {before} AS taken FROM ({near}))"
+
+
+def kmeans_ctes(p: str, pos: str, models: str, k: str, outliers: int = 0, rounds: int = 20) -> list[str]:
+    """`{p}near`: positions with their nearest centre after 20 rounds; `{p}final`: the centres of `models` (g, k)."""
+    mean = lambda c: f"sum({whole(c)} * kept)::DOUBLE / sum(kept)::DOUBLE / 1e9 AS {c}"
+    return [
+        *starts_ctes(p, pos, k, outliers),
+        f"{p}rounds AS (SELECT 0 AS step, g, m.k, i, x, y FROM {models} m JOIN {p}starts USING (g) WHERE i < m.k "
+        f"UNION ALL SELECT r.step + 1, r.g, r.k, r.i, coalesce(m.x, r.x), coalesce(m.y, r.y) FROM {p}rounds r LEFT JOIN "
+        f"(SELECT g, k, near.i AS i, {mean('x')}, {mean('y')} FROM ({kept_select(near_select(pos, f'{p}rounds'), outliers)}) WHERE kept > 0 GROUP BY g, k, near.i) m "
+        f"ON m.g = r.g AND m.k = r.k AND m.i = r.i WHERE r.step < {rounds})",
+        f"{p}final AS (SELECT g, k, i, x, y FROM {p}rounds WHERE step = {rounds})",
+        f"{p}near AS ({kept_select(near_select(pos, f'{p}final'), outliers)})",
+        f"{p}curve AS (SELECT g, k, sum(CAST(near.d * w AS DECIMAL(38,20))) AS wss, sum(w) AS n FROM {p}near GROUP BY g, k)",
+    ]
+
+
+def all_models(name: str, pos: str, k_max: int) -> str:
+    return f"{name} AS (SELECT g, unnest(range(1, {k_max + 1})) AS k FROM (SELECT DISTINCT g FROM {pos}))"
+
+
+ZONED = [MINUTES, ZONES, zoned("minutes"), positions_cte("pos", "zoned")]
+CURVES = [all_models("models", "pos", 18), *kmeans_ctes("a_", "pos", "models", "18")]
+BUSY = [
+    AVERAGED,
+    first_rows("sampled", MINUTE, "averaged"),
+    ZONES,
+    zoned("sampled"),
+    "busy_rows AS (SELECT * FROM zoned WHERE fuel_ma_10m > 30)",
+    positions_cte("busy", "busy_rows"),
+]
+CHOSEN = [
+    *BUSY,
+    positions_cte("pos", "zoned"),
+    *CURVES,
+    "chosen AS (SELECT g, k FROM a_curve QUALIFY row_number() OVER (PARTITION BY g ORDER BY wss, k) = 1)",
+    *kmeans_ctes("b_", "busy", "chosen", "(SELECT max(k) FROM chosen)"),
+]
+oracle("wss_curve", f"SELECT g AS zone_id, k::INTEGER AS k, {r6('wss::DOUBLE')} AS wss FROM a_curve", *ZONED, *CURVES)
+oracle("field_centers", f"SELECT g AS zone_id, {r6('x')} AS x, {r6('y')} AS y FROM b_final", *CHOSEN)
+oracle(
+    "field_outliers",
+    "SELECT g AS zone_id, x, y, (w - kept)::BIGINT AS n FROM o_near WHERE kept < w",
+    *BUSY,
+    f"models AS (SELECT DISTINCT g, {OUTLIER_K} AS k FROM busy)",
+    *kmeans_ctes("o_", "busy", "models", str(OUTLIER_K), N_OUTLIERS),
+)
+# Mean squared distances to a cluster from its sums, about the middle of the zone.
+oracle(
+    "silhouette_curve",
+    f"SELECT g AS zone_id, k::INTEGER AS k, {r6('sum(s * w) / sum(w)')} AS silhouette FROM (SELECT *, CASE WHEN n = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END AS s FROM sides) GROUP BY g, k",
+    *ZONED[:3],
+    f"thin AS (SELECT * FROM zoned QUALIFY (row_number() OVER (PARTITION BY zone_id ORDER BY {ORDER}) - 1) % {THINNING} = 0)",
+    positions_cte("pos", "thin"),
+    *CURVES,
+    "placed AS (SELECT a.g, a.k, a.near.i AS i, a.w, a.x - m.xm AS u, a.y - m.ym AS v FROM a_near a JOIN a_about m USING (g))",
+    "sums AS (SELECT g, k, i, sum(w) AS n, sum(u * w) AS su, sum(v * w) AS sv, sum((u * u + v * v) * w) AS sq FROM placed GROUP BY ALL)",
+    "sides AS (SELECT p.g, p.k, p.u, p.v, p.w, p.i, max(s.n) FILTER (WHERE s.i = p.i) AS n, "
+    "min(u * u + v * v + (sq - 2 * u * su - 2 * v * sv) / s.n) FILTER (WHERE s.i <> p.i) AS b, "
+    "max((u * u + v * v) * s.n + sq - 2 * u * su - 2 * v * sv) FILTER (WHERE s.i = p.i) / nullif(max(s.n) FILTER (WHERE s.i = p.i) - 1, 0) AS a "
+    "FROM placed p JOIN sums s ON s.g = p.g AND s.k = p.k GROUP BY p.g, p.k, p.u, p.v, p.w, p.i HAVING count(*) > 1)",
+)
+FUZZY_FAR = f"list_transform(range(1, len(q.xs) + 1), lambda i: {apart('p.x', 'p.y', 'q.xs[i]', 'q.ys[i]')})"
+FUZZY_SHARES = (
+    "CASE WHEN list_position(far, 0) > 0 THEN list_transform(far, lambda d, i: CASE WHEN i = list_position(far, 0) THEN 1::DOUBLE ELSE 0 END) "
+    "ELSE list_transform(far, lambda d: 1 / list_reduce(list_prepend(0::DOUBLE, list_transform(far, lambda e: d / e)), lambda s, e: s + e)) END"
+)
+FUZZY = [
+    *BUSY,
+    *starts_ctes("f_", "busy", str(FUZZY_K)),
+    "fuzzy AS (SELECT 0 AS step, g, list(x ORDER BY i) AS xs, list(y ORDER BY i) AS ys, list(0::DOUBLE ORDER BY i) AS ws FROM f_starts GROUP BY g "
+    "UNION ALL SELECT step + 1, g, list(sx::DOUBLE / n::DOUBLE / 1e9 ORDER BY i), list(sy::DOUBLE / n::DOUBLE / 1e9 ORDER BY i), list(n::DOUBLE / 1e12 ORDER BY i) FROM ("
+    f"SELECT step, g, i, sum(q * w) AS n, sum(q * w * {whole('x')}) AS sx, sum(q * w * {whole('y')}) AS sy FROM ("
+    "SELECT step, g, x, y, w, unnest(range(len(us))) AS i, unnest(list_transform(us, lambda u: CAST(floor(u * u * 1e12 + 0.5) AS HUGEINT))) AS q FROM ("
+    f"SELECT *, {FUZZY_SHARES} AS us FROM (SELECT q.step, p.g, p.x, p.y, p.w, {FUZZY_FAR} AS far FROM busy p JOIN fuzzy q ON q.g = p.g WHERE q.step < {FUZZY_ROUNDS}))) "
+    "GROUP BY step, g, i) GROUP BY step, g)",
+    f"fuzzy_end AS (SELECT * FROM fuzzy WHERE step = {FUZZY_ROUNDS})",
+]
+oracle(
+    "fuzzy_centers",
+    f"SELECT g AS zone_id, (i - 1)::INTEGER AS c, {r6('xs[i]')} AS x, {r6('ys[i]')} AS y, {r6('ws[i]')} AS weight FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM fuzzy_end)",
+    *FUZZY,
+)
+oracle(
+    "fuzzy_memberships",
+    f"SELECT zone_id, event_id, {r6('list_max(us)')} AS membership FROM (SELECT *, {FUZZY_SHARES} AS us FROM (SELECT p.zone_id, p.event_id, {FUZZY_FAR} AS far "
+    "FROM (SELECT *, gps_longitude AS x, gps_latitude AS y FROM busy_rows) p JOIN fuzzy_end q ON q.g = p.zone_id))",
+    *FUZZY,
+)
+DRAWN = "('0x' || substr(md5(g || ':' || b || ':' || i), {}, 8))::BIGINT::DOUBLE / 4294967296"
+oracle(
+    "gap_statistic",
+    f"SELECT p.zone_id, p.k::INTEGER AS k, {r6('p.s')} AS log_wss, {r6('avg(r.s) - p.s')} AS gap, {r6(f'stddev_pop(r.s) * sqrt(1 + 1 / {GAP_SETS}::DOUBLE)')} AS error "
+    "FROM spreads p JOIN spreads r ON r.zone_id = p.zone_id AND r.k = p.k AND r.b > 0 WHERE p.b = 0 GROUP BY p.zone_id, p.k, p.s",
+    *ZONED,
+    f"drawn AS (SELECT g, unnest(range(1, {GAP_SETS + 1})) AS b FROM (SELECT DISTINCT g FROM pos))",
+    f"numbers AS (SELECT g, b, unnest(range({GAP_SIZE})) AS i FROM drawn)",
+    f"sets AS (SELECT g * {GAP_SETS + 1} AS g, x, y, w FROM pos UNION ALL SELECT g * {GAP_SETS + 1} + b, x0 + {DRAWN.format(1)} * (x1 - x0), y0 + {DRAWN.format(9)} * (y1 - y0), 1 "
+    "FROM numbers JOIN (SELECT g, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pos GROUP BY g) USING (g))",
+    all_models("models", "sets", GAP_K),
+    *kmeans_ctes("s_", "sets", "models", str(GAP_K)),
+    f"spreads AS (SELECT g // {GAP_SETS + 1} AS zone_id, g % {GAP_SETS + 1} AS b, k, ln(wss::DOUBLE / n) AS s FROM s_curve)",
+)
 oracle("in_field", "SELECT event_id, in_field FROM flagged", *FLAGGED)
 oracle(
     "nearest_center",
@@ -689,6 +847,17 @@ oracle(
     MACHINE_TIMES,
     FLEET,
 )
+oracle(
+    "q1_clustered",
+    ORACLES["q1_time_split"].rsplit("\n", 1)[1],
+    MINUTES,
+    *CHOSEN,
+    "centers AS (SELECT x, y FROM b_final)",
+    *SESSIONS[2:],
+    TIMES,
+    MACHINE_TIMES,
+    FLEET,
+)
 oracle(
     "q1_hours_check",
     "SELECT serial_number, session_hours, counter_hours, "

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fleetspark.functions import haversine
 from fleetspark.functions.expressions import MINUTE, TEN_MINUTES
 from fleetspark.functions.labels import SHORT_LABEL
-from fleetspark.operators import clean, cluster, explore, geo, grid, reports, sampling, sessions
+from fleetspark.operators import clean, cluster, explore, fuzzy, gap, geo, grid, reports, sampling, sessions
 from fleetspark.operators.explore import rounded
 from fleetspark.schema import KEY, MA_COLUMNS, RAW_SCHEMA, TELEMETRY, TIME
 from fleetspark.sources.events import telemetry
@@ -35,6 +35,10 @@ CENTERS = [
 ]
 DEPOT = (20.181258, 45.31875)
 LOW_CUTOFF = 3
+THINNING = 30
+OUTLIER_K, N_OUTLIERS = 4, 7
+FUZZY_K, FUZZY_ROUNDS = 5, 10
+GAP_K, GAP_SETS, GAP_SIZE = 6, 5, 300
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,6 +70,11 @@ def averaged_minutes(spark, sf_dir, columns, frames) -> DataFrame:
     )
 
 
+def fuel_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes with the ten-minute fuel average, by which high load is told."""
+    return averaged_minutes(spark, sf_dir, {"fuel": MA_COLUMNS["fuel"]}, {"10m": 60})
+
+
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.flag_in_field(minutes(spark, sf_dir), centers(spark))
 
@@ -429,29 +438,64 @@ def zone_dense_cells(spark, sf_dir):
 
 @query
 def high_load_points(spark, sf_dir):
-    sample = averaged_minutes(spark, sf_dir, {"fuel": MA_COLUMNS["fuel"]}, {"10m": 60})
-    busy = cluster.high_load_points(geo.assign_zones(sample))
+    busy = cluster.high_load_points(geo.assign_zones(fuel_minutes(spark, sf_dir)))
     return busy.select("zone_id", "event_id", "gps_longitude", "gps_latitude")
 
 
 @query
 def every_nth(spark, sf_dir):
     placed = geo.assign_zones(minutes(spark, sf_dir))
-    thin = sampling.every_nth(placed, cluster.THINNING, ["zone_id"], ORDER)
+    thin = sampling.every_nth(placed, THINNING, ["zone_id"], ORDER)
     return thin.select("zone_id", "event_id", "gps_longitude", "gps_latitude")
 
 
 @query
 def wss_curve(spark, sf_dir):
-    zone = geo.DEFAULT_ZONES[2]
-    rows = geo.in_bbox(minutes(spark, sf_dir), zone.box)
-    return cluster.wss_curve(cluster.thinned(rows, (), ORDER))
+    """Curves of all zones, from one set of rounds."""
+    rows = geo.assign_zones(minutes(spark, sf_dir))
+    return round_doubles(cluster.wss_curves(rows, "zone_id"))
+
+
+@query
+def silhouette_curve(spark, sf_dir):
+    rows = cluster.thinned(geo.assign_zones(minutes(spark, sf_dir)), THINNING, ["zone_id"], ORDER)
+    curves = cluster.wss_curves(rows, "zone_id", silhouette=True).drop("wss")
+    return round_doubles(curves.filter(F.col("silhouette").isNotNull()))
 
 
 @query
 def field_centers(spark, sf_dir):
-    sample = averaged_minutes(spark, sf_dir, {"fuel": MA_COLUMNS["fuel"]}, {"10m": 60})
-    return cluster.field_centers(sample, k=cluster.K_MAX, order=ORDER)
+    """Centres of all zones, each with the k that its curve prefers."""
+    return round_doubles(cluster.field_centers(fuel_minutes(spark, sf_dir), order=ORDER))
+
+
+@query
+def field_outliers(spark, sf_dir):
+    """The farthest high-load points of every zone, set aside in each round."""
+    busy = cluster.high_load_points(geo.assign_zones(fuel_minutes(spark, sf_dir)))
+    _, outliers = cluster.kmeans_without_outliers(busy, "zone_id", OUTLIER_K, N_OUTLIERS)
+    return outliers
+
+
+@query
+def fuzzy_centers(spark, sf_dir):
+    busy = cluster.high_load_points(geo.assign_zones(fuel_minutes(spark, sf_dir)))
+    return round_doubles(fuzzy.fuzzy_cmeans(busy, "zone_id", FUZZY_K, rounds=FUZZY_ROUNDS))
+
+
+@query
+def fuzzy_memberships(spark, sf_dir):
+    """The strongest membership of every high-load row."""
+    busy = cluster.high_load_points(geo.assign_zones(fuel_minutes(spark, sf_dir)))
+    found = fuzzy.fuzzy_cmeans(busy, "zone_id", FUZZY_K, rounds=FUZZY_ROUNDS)
+    rows = fuzzy.with_memberships(busy, found, "zone_id").withColumn("membership", F.array_max("memberships"))
+    return round_doubles(rows.select("zone_id", "event_id", "membership"))
+
+
+@query
+def gap_statistic(spark, sf_dir):
+    rows = geo.assign_zones(minutes(spark, sf_dir))
+    return round_doubles(gap.gap_statistic(rows, "zone_id", GAP_K, GAP_SETS, GAP_SIZE))
 
 
 @query
@@ -539,8 +583,7 @@ def q1_hours_check(spark, sf_dir):
 @query
 def q1_clustered(spark, sf_dir):
     """The time split with centres found by clustering instead of given ones."""
-    sample = averaged_minutes(spark, sf_dir, {"fuel": MA_COLUMNS["fuel"]}, {"10m": 60})
-    found = cluster.field_centers(sample, k=cluster.K_MAX, order=ORDER)
+    found = cluster.field_centers(fuel_minutes(spark, sf_dir), order=ORDER)
     on_site = geo.flag_in_field(minutes(spark, sf_dir), found)
     times = sessions.machine_times(sessions.assign_sessions(on_site, order=ORDER))
     return round_doubles(reports.time_split(times))

@@ -52,11 +52,10 @@ def analyse(
     idle_minutes: int = sessions.IDLE_MINUTES,
     min_rows: int = sessions.MIN_ROWS,
     mode: str = "reference",
-    seed: int = 1,
 ) -> dict[str, DataFrame]:
     """Find site centres, flag and cut the minutes into sessions, and answer the questions."""
     sample, telemetry = tables["sample_1min"], tables["telemetry"]
-    centers = cluster.field_centers(sample, zones, k, seed=seed, order=order)
+    centers = cluster.field_centers(sample, zones, k, order=order)
     write_table(centers, f"{out_dir}/field_centers")
     centers = read_table(sample.sparkSession, f"{out_dir}/field_centers")
     flagged = geo.flag_in_field(sample, centers, km)

@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from fleetspark.catalog.oracles import ORACLES
 from fleetspark.catalog.queries import ORDER, QUERIES, raw_export
 from fleetspark.plans.workflow import analyse, prepare_tables
 
 SF_DIR = "/root/testdata/sf0.001"
-ROWS_ONLY = {"wss_curve", "field_centers", "q1_clustered"}
 
 
 @pytest.fixture(scope="module")
@@ -33,11 +33,11 @@ def cells(df):
     return sorted(tuple(map(plain, row)) for row in df.itertuples(index=False))
 
 
-def test_every_query_has_sql_or_is_iterative():
-    assert set(entry_points.queries()) - set(entry_points.oracle_sql()) == ROWS_ONLY
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - ROWS_ONLY))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     got = QUERIES[name](spark, SF_DIR).toPandas()
     want = duck.sql(entry_points.oracle_sql()[name]).df()
