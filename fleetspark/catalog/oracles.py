@@ -347,8 +347,8 @@ oracle(
         f"SELECT '{c}' AS \"column\", {r6(f'min({c})')} AS \"min\", {r6(f'quantile_cont({c}, 0.25)')} AS q1, "
         f"{r6(f'median({c})')} AS median, {r6(f'avg({c})')} AS mean, {r6(f'quantile_cont({c}, 0.75)')} AS q3, "
         f"{r6(f'max({c})')} AS \"max\", count(*) - count({c}) AS n_null "
-        f"FROM (SELECT CAST({c} AS DOUBLE) AS {c} FROM telemetry)"
-        for c in NUMERIC
+        f"FROM (SELECT {e} AS {c} FROM telemetry)"
+        for c, e in [*((c, f"CAST({c} AS DOUBLE)") for c in NUMERIC), ("date_time", "CAST(epoch_us(date_time) // 1000000 AS DOUBLE)")]
     ),
 )
 oracle(

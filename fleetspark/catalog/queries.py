@@ -213,7 +213,7 @@ def machine_summary(spark, sf_dir):
 
 @query
 def column_summary(spark, sf_dir):
-    return round_doubles(explore.column_summary(telemetry(spark, sf_dir)))
+    return round_doubles(explore.column_summary(telemetry(spark, sf_dir), times=[TIME]))
 
 
 @query

@@ -34,7 +34,7 @@ def _typed(column: str, cast) -> F.Column:
         return switch_upper(c)
     if target == "int":
         # Text such as "2.5" counts as a number and is rounded half away from zero.
-        return F.round(cast(c, "double")).cast("int")
+        return cast(F.round(cast(c, "double")), "int")
     return c if target == "string" else cast(c, target)
 
 

@@ -19,8 +19,9 @@ from fleetspark.functions import (
     second_gap,
     time_bucket,
 )
-from fleetspark.functions.expressions import HOUR, MINUTE, TEN_MINUTES
+from fleetspark.functions.expressions import HOUR, MINUTE, TEN_MINUTES, epoch_seconds
 from fleetspark.functions.labels import MA_LABEL, NIL_LABEL, PLAIN_LABEL, SAMPLE_MA_LABEL
+from fleetspark.operators.ordered import join_same
 from fleetspark.operators.quantiles import medians, melt, quantiles_long
 from fleetspark.operators.sampling import add_moving_averages, sample_first, sample_with_averages
 from fleetspark.schema import KEY, MA_COLUMNS, NUMERIC, TELEMETRY, TIME
@@ -117,7 +118,7 @@ def values_per_machine(df: DataFrame, column: str, out: str) -> DataFrame:
 
 def load_summary(df: DataFrame) -> DataFrame:
     mean = df.groupBy(KEY).agg(F.avg("engine_load").alias("avg_load"))
-    return mean.join(medians(df, [KEY], {"median_load": "engine_load"}), KEY, "left")
+    return join_same(mean, medians(df, [KEY], {"median_load": "engine_load"}), [KEY], "left")
 
 
 def fuel_summary(df: DataFrame) -> DataFrame:
@@ -128,7 +129,7 @@ def fuel_summary(df: DataFrame) -> DataFrame:
         F.count("*").alias("event_cnt"),
     )
     median = medians(df, [KEY], {"median_fuel": "fuel_consumption_l_h"})
-    return totals.join(median, KEY, "left").orderBy("max_fuel")
+    return join_same(totals, median, [KEY], "left").orderBy("max_fuel")
 
 
 def attribute_summary(df: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def attribute_summary(df: DataFrame) -> DataFrame:
             "med_fuel": "fuel_consumption_l_h",
         },
     )
-    return totals.join(middle, KEY, "left").orderBy("max_fuel")
+    return join_same(totals, middle, [KEY], "left").orderBy("max_fuel")
 
 
 def value_counts_nested(
@@ -211,9 +212,9 @@ def machine_summary(df: DataFrame, min_load: float = 60) -> DataFrame:
         value_counts_nested(df, "differential_lock_status", "differential", "differentials"),
         value_counts_nested(df, "all_wheel_drive_status", "4wheelDrive", "wheel4drive"),
     ]
-    result = totals.join(middle, KEY, "left")
+    result = join_same(totals, middle, [KEY], "left")
     for breakdown in nested:
-        result = result.join(breakdown, KEY, "left")
+        result = join_same(result, breakdown, [KEY], "left")
     return result
 
 
@@ -429,8 +430,13 @@ def concurrent_hours(df: DataFrame, more_than: int = 1) -> DataFrame:
 # --- statistics of all columns ------------------------------------------------
 
 
-def column_summary(df: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
-    """Minimum, quartiles, median, mean, maximum and NULL count of each column."""
+def column_summary(df: DataFrame, columns: Sequence[str] = NUMERIC, times: Sequence[str] = ()) -> DataFrame:
+    """Minimum, quartiles, median, mean, maximum and NULL count of each column.
+
+    Columns in `times` are summarised as whole seconds since 1970.
+    """
+    df = df.select(*columns, *[epoch_seconds(c).alias(c) for c in times])
+    columns = [*columns, *times]
     per_column = F.array(
         *[
             F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspark.functions.expressions import EARTH_RADIUS_M, METRES_PER
+from fleetspark.sources.tables import local_table
 
 LON, LAT = "gps_longitude", "gps_latitude"
 
@@ -19,6 +20,8 @@ NAUTICAL_MILE_DEG = 0.0167
 
 # Largest list that is written into a plan as literals.
 MAX_INLINE = 1024
+# Cells of boxes: sides of the smallest, and how many times it is doubled.
+SMALLEST_CELL_DEG, LEVELS = 1e-4, 24
 # Largest table of centres that is broadcast, in rows (about 1 KB each once spread).
 MAX_BROADCAST_ROWS = 100_000
 
@@ -80,41 +83,62 @@ def assign_zones(
 ) -> DataFrame:
     """One output row per row and zone that contains it; borders belong to a zone.
 
-    The zone list is part of the plan (it comes from the caller's code, at most
-    `MAX_INLINE` entries), so points are neither joined nor shuffled.
+    Up to `MAX_INLINE` zones are part of the plan, so points are neither joined nor
+    shuffled; longer lists go through `assign_zone_table`.
     """
     if len(zones) > MAX_INLINE:
-        raise ValueError("use assign_zone_table for long zone lists")
+        rows = [(z.zone_id, *map(float, z.box)) for z in zones]
+        schema = "zone_id int, left double, bottom double, right double, top double"
+        return assign_zone_table(df, local_table(df.sparkSession, rows, schema), lon, lat)
     hits = F.array_compact(
         F.array(*[F.when(inside(z.box, F.col(lon), F.col(lat)), z.zone_id) for z in zones])
     )
     return df.withColumn("zone_id", F.explode(hits))
 
 
-def assign_zone_table(
-    df: DataFrame, zones: DataFrame, cell_deg: float = 0.25, lon=LON, lat=LAT
-) -> DataFrame:
-    """`assign_zones` for a table (zone_id, left, bottom, right, top) of any length.
+def _cell(value: Column, level: Column) -> Column:
+    return F.floor(value / (F.lit(SMALLEST_CELL_DEG) * F.pow(F.lit(2.0), level)))
+
 
-    Zones are spread over the degree cells they touch and met by an equality join.
+def meet_boxes(points: DataFrame, boxes: DataFrame, lon: str = LON, lat: str = LAT) -> DataFrame:
+    """Points beside the boxes (left, bottom, right, top) that may hold them.
+
+    A box is put into cells about its own size, so it takes at most four, however large;
+    a point looks up one cell for each size that any box has (at most `LEVELS`). They
+    meet by an equality join. Boxes with a NULL side hold nothing.
     """
-    cell = lambda c: F.floor(c / F.lit(cell_deg))
+    side = F.greatest(F.col("right") - F.col("left"), F.col("top") - F.col("bottom"), F.lit(SMALLEST_CELL_DEG))
+    level = F.least(F.greatest(F.ceil(F.log2(side / SMALLEST_CELL_DEG)), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+    sides = [F.col(c) for c in ("left", "bottom", "right", "top")]
+    known = boxes.filter(F.greatest(*[s.isNull().cast("int") + F.isnan(s).cast("int") for s in sides]) == 0)
+    span = lambda low, high: F.explode(F.sequence(_cell(F.col(low), F.col("_level")), _cell(F.col(high), F.col("_level"))))
     covered = (
-        zones.withColumn("_cx", F.explode(F.sequence(cell(F.col("left")), cell(F.col("right")))))
-        .withColumn("_cy", F.explode(F.sequence(cell(F.col("bottom")), cell(F.col("top")))))
-    )
-    points = df.withColumns({"_cx": cell(F.col(lon)), "_cy": cell(F.col(lat))})
-    within = (
-        (F.col(lon) >= F.col("left"))
-        & (F.col(lon) <= F.col("right"))
-        & (F.col(lat) >= F.col("bottom"))
-        & (F.col(lat) <= F.col("top"))
-    )
-    return (
-        points.join(covered, ["_cx", "_cy"])
-        .filter(within)
-        .drop("_cx", "_cy", "left", "bottom", "right", "top")
+        known.filter("left <= right and bottom <= top")
+        .withColumn("_level", level)
+        .withColumn("_cx", span("left", "right"))
+        .withColumn("_cy", span("bottom", "top"))
     )
+    used = sorted(r._level for r in known.select(level.alias("_level")).distinct().collect())  # at most LEVELS
+    if not used:
+        used = [0]
+    places = points.withColumn("_level", F.explode(F.array(*[F.lit(i) for i in used])))
+    places = places.withColumns({"_cx": _cell(F.col(lon), F.col("_level")), "_cy": _cell(F.col(lat), F.col("_level"))})
+    return places.join(covered, ["_level", "_cx", "_cy"]).drop("_level", "_cx", "_cy")
+
+
+def assign_zone_table(df: DataFrame, zones: DataFrame, lon=LON, lat=LAT) -> DataFrame:
+    """`assign_zones` for a table (zone_id, left, bottom, right, top) of any length.
+
+    Other columns of the zone table are not read.
+    """
+    sides = ["left", "bottom", "right", "top"]
+    boxes = zones.select("zone_id", *[F.col(c).alias(f"_box_{c}") for c in sides])
+    boxes = boxes.withColumnsRenamed({f"_box_{c}": c for c in sides})
+    clash = {c: f"_own_{c}" for c in sides if c in df.columns}
+    met = meet_boxes(df.withColumnsRenamed(clash), boxes, clash.get(lon, lon), clash.get(lat, lat))
+    x, y = F.col(clash.get(lon, lon)), F.col(clash.get(lat, lat))
+    within = (x >= F.col("left")) & (x <= F.col("right")) & (y >= F.col("bottom")) & (y <= F.col("top"))
+    return met.filter(within).drop(*sides).withColumnsRenamed({new: c for c, new in clash.items()})
 
 
 def _lon_step(band: Column, reach_deg: float) -> Column:
@@ -226,7 +250,7 @@ def nearest_center(
 
     Points look among the centres of their cell, first with a short reach, then a longer
     one, until the reach is half the globe.  A find within the reach is the closest of
-    all, so the later, larger cells only cost the points far from every centre.
+    all. Every point joins at every reach; found ones keep what they have.
     """
     small = _is_small(centers)
     found = _with_place(points, lon, lat).withColumn("_best", F.lit(None).cast("double"))

@@ -24,6 +24,14 @@ def with_slice(df: DataFrame, seconds: int, time: str = TIME) -> DataFrame:
     return df.withColumn(SLICE, time_bucket(time, seconds))
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, NULL counting as equal to NULL; the keys come from the left."""
+    names = {k: f"_right_{k}" for k in keys}
+    renamed = right.withColumnsRenamed(names)
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(renamed, same, how).drop(*names.values())
+
+
 def ascending(columns: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in columns]
 
@@ -91,7 +99,7 @@ def with_position(
     in_slice = Window.partitionBy(*by).orderBy(*ascending(order))
     return (
         sliced.withColumn("_rn", F.row_number().over(in_slice))
-        .join(offsets, by)
+        .transform(join_same, offsets, by)
         .withColumn(out, F.col("_offset") + F.col("_rn"))
         .drop("_rn", "_offset", SLICE)
     )

@@ -1,41 +1,44 @@
 """Exact medians and quantiles that do not hold a group in memory.
 
 Spark's `median` keeps every distinct value of a group in one aggregation buffer.
-Here values are first counted, then coarse value ranges are accumulated to find the
-range that holds each wanted rank, and only that range is put in order.
+Here coarse value ranges are counted first to find those that hold a wanted rank; only
+their values are shuffled, parted by finer ranges, and put in order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetspark.operators.ordered import join_same
+
 # Ranges per doubling of the value's size.
 RANGES_PER_OCTAVE = 1024
+FINE = RANGES_PER_OCTAVE << 20
 
 
-def _value_range(value: str) -> F.Column:
-    """Monotone coarse range of a number; its count is bounded for all doubles."""
+def _value_range(value: str, per_octave: int = RANGES_PER_OCTAVE) -> Column:
+    """Monotone range of a number; the count of coarse ranges is bounded for all doubles."""
     v = F.col(value)
     # NaN sorts after every number, infinities at the ends.
     size = F.least(F.log2(F.abs(v) + 1), F.lit(2000.0))
-    place = F.when(F.isnan(v), F.lit(1 << 40)).otherwise(
-        F.floor(F.signum(v) * size * RANGES_PER_OCTAVE)
+    place = F.when(F.isnan(v), F.lit(1 << 60)).otherwise(
+        F.floor(F.signum(v) * size * per_octave)
     )
     return F.coalesce(place.cast("long"), F.lit(0))
 
 
 def melt(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row (keys, name, value) per non-NULL value of the columns and non-NULL key."""
+    """One row (keys, name, value) per non-NULL value of the columns."""
     pairs = F.array(
         *[
             F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
             for c in columns
         ]
     )
-    return df.select(*keys, F.inline(pairs)).dropna(subset=[*keys, "name", "value"])
+    return df.select(*keys, F.inline(pairs)).dropna(subset=["value"])
 
 
 def exact_quantiles(
@@ -56,43 +59,61 @@ def exact_quantiles(
     return long.agg(*cells)
 
 
-def quantiles_long(melted: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    """(keys, name, p, quantile) for every group, name and probability."""
-    group = [*keys, "name"]
-    # Equal values collapse inside each task, so a value shared by a third of the rows is cheap.
-    counts = (
-        melted.groupBy(*group, "value")
-        .agg(F.count("*").alias("n"))
-        .withColumn("range", _value_range("value"))
-    )
-    by_range = Window.partitionBy(*group).orderBy("range")
-    ranges = (
-        counts.groupBy(*group, "range")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
-        .withColumn("below", F.sum("n").over(by_range) - F.col("n"))
-    )
-    # Ranks (from 0) of the two values each quantile lies between.
-    ranks = F.array(
+def _shares(probabilities: Sequence[float]) -> Column:
+    """For each probability the ranks (from 0) of the two values it lies between."""
+    at = lambda p: (F.col("total") - 1) * F.lit(p)
+    return F.array(
         *[
-            F.struct(
-                F.lit(p).alias("p"),
-                F.floor((F.col("total") - 1) * F.lit(p)).alias("low"),
-                F.ceil((F.col("total") - 1) * F.lit(p)).alias("high"),
-                ((F.col("total") - 1) * F.lit(p)).alias("at"),
-            )
+            F.struct(F.lit(p).alias("p"), F.floor(at(p)).alias("low"), F.ceil(at(p)).alias("high"), at(p).alias("at"))
             for p in probabilities
         ]
     )
-    picked = (
-        ranges.select(*group, "range", "below", "n", F.inline(ranks))
-        .filter((F.col("low") < F.col("below") + F.col("n")) & (F.col("high") >= F.col("below")))
+
+
+def _picked(ranges: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, range, below, n, ranks) to the ranges that hold a wanted rank, each with those ranks."""
+    open_ = ranges.select(*group, "range", "below", "n", F.inline("ranks"))
+    return (
+        open_.filter((F.col("low") < F.col("below") + F.col("n")) & (F.col("high") >= F.col("below")))
         .groupBy(*group, "range", "below")
         .agg(F.collect_list(F.struct("p", "low", "high", "at")).alias("ranks"))
     )
-    in_range = Window.partitionBy(*group, "range").orderBy("value")
+
+
+def quantiles_long(melted: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """(keys, name, p, quantile) for every group, name and probability.
+
+    A first pass counts rows per coarse range, which map tasks add up to a bounded table.
+    A second pass shuffles only the values of the ranges that hold a wanted rank; finer
+    ranges part them once more before any are put in order. NULL keys are a group.
+    """
+    group = [*keys, "name"]
+    coarse = melted.withColumn("range", _value_range("value"))
+    by_group = Window.partitionBy(*group)
+    ranges = (
+        coarse.groupBy(*group, "range")
+        .agg(F.count("*").alias("n"))
+        .withColumn("total", F.sum("n").over(by_group))
+        .withColumn("below", F.sum("n").over(by_group.orderBy("range")) - F.col("n"))
+        .withColumn("ranks", _shares(probabilities))
+    )
+    picked = _picked(ranges, group).withColumnRenamed("range", "coarse")
+    # Equal values collapse inside each task, so a value shared by a third of the rows is cheap.
+    inner = [*group, "coarse"]
+    counts = (
+        join_same(coarse.withColumnRenamed("range", "coarse"), picked.select(*inner), inner)
+        .groupBy(*inner, "value")
+        .agg(F.count("*").alias("n"))
+        .withColumn("range", _value_range("value", FINE))
+    )
+    fine = counts.groupBy(*inner, "range").agg(F.sum("n").alias("n"))
+    fine = join_same(fine, picked, inner).withColumn(
+        "below", F.col("below") + F.sum("n").over(Window.partitionBy(*inner).orderBy("range")) - F.col("n")
+    )
+    picked = _picked(fine, inner)
+    in_range = Window.partitionBy(*inner, "range").orderBy("value")
     ordered = (
-        counts.join(picked, [*group, "range"])
+        join_same(counts, picked, [*inner, "range"])
         .withColumn("end", F.col("below") + F.sum("n").over(in_range))
         .withColumn("start", F.col("end") - F.col("n"))
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetspark.functions import safe_ratio
 from fleetspark.operators.geo import DEFAULT_ZONES, Zone
 from fleetspark.operators.grid import FIELD_CUTOFF, ZONE_STEP, zone_grid
+from fleetspark.operators.ordered import join_same
 from fleetspark.schema import KEY
 
 
@@ -46,7 +47,7 @@ def hours_check(times: DataFrame, telemetry: DataFrame) -> DataFrame:
     minutes = F.col("transport_minutes") + F.col("activity_minutes")
     sessions = times.select(KEY, F.round(minutes / 60, 2).alias("session_hours"))
     error = safe_ratio(F.col("counter_hours") - F.col("session_hours"), "counter_hours") * 100
-    return sessions.join(counter, KEY).withColumn("error_percent", F.round(error, 2))
+    return join_same(sessions, counter, [KEY]).withColumn("error_percent", F.round(error, 2))
 
 
 def field_count(
@@ -57,7 +58,10 @@ def field_count(
 ) -> DataFrame:
     """Q2: dense grid cells of on-site rows, per zone and over all zones (zone_id NULL)."""
     grid = zone_grid(flagged.filter(F.col("in_field") == 1), zones, step_deg)
-    return grid.rollup("zone_id").agg(F.count_if(F.col("n") > cutoff).alias("n_fields"))
+    dense = lambda rows: rows.agg(F.count_if(F.col("n") > cutoff).alias("n_fields"))
+    # The total is an aggregate of its own, so that it says 0 where there is no cell.
+    total = dense(grid).select(F.lit(None).cast("int").alias("zone_id"), "n_fields")
+    return dense(grid.groupBy("zone_id")).select(F.col("zone_id").cast("int"), "n_fields").unionByName(total)
 
 
 def activities(

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from fleetspark.functions import minute_gap, safe_ratio
 from fleetspark.functions.expressions import WEEK, epoch_seconds
-from fleetspark.operators.geo import LAT, LON
-from fleetspark.operators.ordered import SLICE, ascending, with_slice
+from fleetspark.operators.geo import LAT, LON, meet_boxes
+from fleetspark.operators.ordered import SLICE, ascending, join_same, with_slice
 from fleetspark.schema import KEY, TIME
 
 # Longest pause inside a session in minutes, shortest session in rows,
@@ -83,7 +83,7 @@ def _mark(sliced: DataFrame, idle_minutes: int, order: Sequence[str]) -> DataFra
     summary = _slice_summary(sliced, idle_minutes, order)
     return (
         sliced.withColumn("_next", F.lead(TIME).over(_ordered(order)))
-        .join(summary, [KEY, SLICE])
+        .transform(join_same, summary, [KEY, SLICE])
         .withColumn("next_time", F.coalesce("_next", "_next_first"))
         .withColumn("gap_minutes", F.abs(minute_gap(TIME, "next_time")))
         .withColumn("symb", _symbol(F.col("gap_minutes"), idle_minutes))
@@ -174,32 +174,26 @@ def session_overview(sessions: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame
 
 
 def centers_near_session(
-    overview: DataFrame, centers: DataFrame, pad_deg: float = SESSION_PAD, cell_deg: float = 0.1
+    overview: DataFrame, centers: DataFrame, pad_deg: float = SESSION_PAD
 ) -> DataFrame:
     """Centres strictly inside a session's box widened by `pad_deg`.
 
-    `overview` comes from `session_overview`.  Boxes and centres meet on degree cells.
+    `overview` comes from `session_overview`.  Boxes of any size take up to four cells.
     """
-    cell = lambda c: F.floor(c / F.lit(cell_deg))
     padded = overview.select(
         KEY,
         "session_id",
         *[(F.col(c) - pad_deg).alias(c) for c in ("left", "bottom")],
         *[(F.col(c) + pad_deg).alias(c) for c in ("right", "top")],
     )
-    boxes = padded.withColumn(
-        "_cx", F.explode(F.sequence(cell(F.col("left")), cell(F.col("right"))))
-    ).withColumn("_cy", F.explode(F.sequence(cell(F.col("bottom")), cell(F.col("top")))))
-    placed = centers.select("x", "y").withColumns(
-        {"_cx": cell(F.col("x")), "_cy": cell(F.col("y"))}
-    )
     within = (
         (F.col("x") > F.col("left"))
         & (F.col("x") < F.col("right"))
         & (F.col("y") > F.col("bottom"))
         & (F.col("y") < F.col("top"))
     )
-    return boxes.join(placed, ["_cx", "_cy"]).filter(within).select(KEY, "session_id", "x", "y")
+    met = meet_boxes(centers.select("x", "y"), padded, "x", "y")
+    return met.filter(within).select(KEY, "session_id", "x", "y")
 
 
 def session_trace(
@@ -233,7 +227,7 @@ def session_trace(
     here = Window.partitionBy(*by).orderBy(*ascending(order))
     return (
         sliced.withColumn("_rn", F.row_number().over(here))
-        .join(stats, by)
+        .transform(join_same, stats, by)
         .withColumn("row_index", F.col("_before") + F.col("_rn"))
         .withColumn("field_flag", F.col("in_field") * F.col("_mean_speed_gearbox_km_h"))
         .withColumn("parking_flag", F.col("parking_break_status") * F.col("_mean_engine_rpm") / 10)

@@ -11,6 +11,7 @@ from fleetspark.functions.expressions import MINUTE, TEN_MINUTES
 from fleetspark.operators import cluster, geo, grid, reports, sessions
 from fleetspark.operators.clean import clean_telemetry, drop_header_rows
 from fleetspark.operators.sampling import sample_with_averages
+from fleetspark.operators.ordered import total_order
 from fleetspark.schema import SAMPLED, TIME
 from fleetspark.sources.tables import read_table, write_table
 
@@ -47,14 +48,19 @@ def analyse(
     out_dir: str,
     zones: Sequence[geo.Zone] = geo.DEFAULT_ZONES,
     k: int | None = None,
-    order: Sequence[str] = (TIME,),
+    order: Sequence[str] | None = None,
     km: float = geo.FIELD_RADIUS_KM,
     idle_minutes: int = sessions.IDLE_MINUTES,
     min_rows: int = sessions.MIN_ROWS,
     mode: str = "reference",
 ) -> dict[str, DataFrame]:
-    """Find site centres, flag and cut the minutes into sessions, and answer the questions."""
+    """Find site centres, flag and cut the minutes into sessions, and answer the questions.
+
+    Without `order`, rows of one machine and time follow one another by all their other
+    columns, so that equal times never fall by chance.
+    """
     sample, telemetry = tables["sample_1min"], tables["telemetry"]
+    order = order or total_order(sample.drop(MONTH), (TIME, KEY), False)
     centers = cluster.field_centers(sample, zones, k, order=order)
     write_table(centers, f"{out_dir}/field_centers")
     centers = read_table(sample.sparkSession, f"{out_dir}/field_centers")

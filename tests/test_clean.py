@@ -83,3 +83,12 @@ def test_csv_export_and_raw_scan(spark, tmp_path):
 def test_empty_local_table(spark):
     empty = local_table(spark, [], "x double, n bigint")
     assert empty.count() == 0 and empty.columns == ["x", "n"]
+
+
+def test_numbers_beyond_the_type_are_null_or_fail(spark):
+    raw = raw_rows(spark, {**DATA, "gear_shift": "1e12", "parking_break_status": "x"})
+    row = clean_telemetry(raw, on_error="null").first()
+    assert row.gear_shift is None and row.parking_break_status is None and row.engine_rpm == 900
+    assert {r.column: r.rejected for r in reject_counts(raw).collect() if r.rejected} == {"gear_shift": 1, "parking_break_status": 1}
+    with pytest.raises(Exception):
+        clean_telemetry(raw).collect()

@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fleetspark.operators import geo
 from fleetspark.operators.geo import (
     DEFAULT_ZONES,
-    MAX_INLINE,
     Box,
     Zone,
     assign_zone_table,
@@ -86,10 +86,23 @@ def test_zone_borders_belong_to_both_zones(spark):
     assert sorted((r.id, r.zone_id) for r in assign_zone_table(df, table).collect()) == hits
 
 
-def test_long_zone_lists_are_refused(spark):
-    zones = [Zone(i, Box(0, 0, 1, 1)) for i in range(MAX_INLINE + 1)]
-    with pytest.raises(ValueError):
-        assign_zones(local_table(spark, [(1, 0.5, 0.5)], POINT), zones)
+@pytest.mark.parametrize("inline", [0, 5000])
+def test_many_zones_by_brute_force(spark, monkeypatch, inline):
+    """Two thousand boxes of all sizes, among them points, stripes and one over all."""
+    monkeypatch.setattr(geo, "MAX_INLINE", inline)
+    rng = random.Random(11)
+    zones = [Zone(0, Box(-180.0, -90.0, 180.0, 90.0)), Zone(1, Box(20.0, -90.0, 20.0001, 90.0)), Zone(2, Box(20.5, 45.5, 20.5, 45.5)), Zone(3, Box(21.0, 45.0, 20.0, 46.0))]
+    while len(zones) < (2000 if not inline else 40):
+        x, y, size = rng.uniform(19, 21), rng.uniform(45, 46), 10 ** rng.uniform(-5, 0)
+        zones.append(Zone(len(zones), Box(x, y, x + size * rng.random(), y + size * rng.random())))
+    points = [(i, rng.uniform(19, 21), rng.uniform(45, 46)) for i in range(200)] + [(200, 20.5, 45.5), (201, 0.0, 0.0), (202, None, 1.0), (203, zones[9].box.right, zones[9].box.top)]
+    df = local_table(spark, points, POINT)
+    got = sorted((r.id, r.zone_id) for r in assign_zones(df, zones).collect())
+    want = [(i, z.zone_id) for i, x, y in points if x is not None for z in zones if z.box.left <= x <= z.box.right and z.box.bottom <= y <= z.box.top]
+    assert got == sorted(want) and len(got) > 204
+    if not inline:
+        boxes = local_table(spark, [(z.zone_id, *z.box) for z in zones], "zone_id int, left double, bottom double, right double, top double")
+        assert geo.meet_boxes(df, boxes).count() < 40 * len(got)
 
 
 def test_boxes(spark):

@@ -21,6 +21,7 @@ def values():
 
 @pytest.mark.parametrize("p", [0.0, 0.1, 0.25, 0.5, 0.75, 1.0])
 def test_quantiles_match_numpy(spark, values, p):
+    values = {**values, None: values["narrow"]}
     rows = [(k, v) for k, vs in values.items() for v in vs] + [("pair", None), ("none", None)]
     df = spark.createDataFrame(rows, "k string, v double")
     got = {r.k: r.q for r in exact_quantiles(df, ["k"], {"q": ("v", p)}).collect()}
@@ -46,3 +47,20 @@ def test_constant_column_correlates_as_nan(spark):
     got = {(r.column_a, r.column_b): r.correlation for r in correlation_matrix(df, ["a", "b", "c"]).collect()}
     assert got["a", "b"] == pytest.approx(np.corrcoef([1, 2, 0], [2, 4, 1])[0, 1])
     assert np.isnan(got["a", "c"]) and len(got) == 9
+
+
+def test_times_are_summarised_too(spark):
+    df = spark.sql("SELECT timestamp_micros(v * 1000000 + 500000)::timestamp_ntz AS t FROM VALUES (1), (2), (9), (NULL) x(v)")
+    row = column_summary(df, [], ["t"]).first()
+    assert (row.column, row.min, row.median, row.max, row.n_null) == ("t", 1.0, 2.0, 9.0, 1)
+
+
+def test_only_values_of_picked_ranges_are_shuffled(spark):
+    """Of a hundred thousand values spread over many ranges, few come through the second pass."""
+    df = spark.range(100_000).selectExpr("id * 1.0D AS v")
+    assert medians(df, [], {"m": "v"}).first().m == 49_999.5
+    from fleetspark.operators import quantiles
+
+    near = quantiles._value_range("v")
+    middle = df.filter(near == df.filter("v = 49999").select(near.alias("r")).first().r)
+    assert middle.count() < 100

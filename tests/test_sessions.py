@@ -2,8 +2,9 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from fleetspark.operators import reports
+from fleetspark.operators import geo, reports
 from fleetspark.operators.sessions import (
     assign_sessions,
     centers_near_session,
@@ -157,3 +158,32 @@ def test_field_count_reports_every_zone(make):
     got = {r.zone_id: r.n_fields for r in reports.field_count(make(rows, COLUMNS), cutoff=99).collect()}
     assert got == {3: 6, None: 6}
     assert reports.field_count(make(rows, COLUMNS), cutoff=100).first().n_fields == 0
+
+
+def test_rows_without_a_machine_stay(make):
+    rows = two_sessions()
+    df = make(rows + [{**r, "serial_number": None} for r in rows], COLUMNS)
+    for per in (mark_gaps(df), assign_sessions(df), session_trace(assign_sessions(df))):
+        counts = {r.serial_number: r.n for r in per.groupBy("serial_number").agg(F.count("*").alias("n")).collect()}
+        assert counts == {"M": len(rows), None: len(rows)}
+    split = {(r.serial_number, r.session_id): r.total_minutes for r in session_times(assign_sessions(df)).collect()}
+    assert {k[1]: v for k, v in split.items() if k[0] is None} == {k[1]: v for k, v in split.items() if k[0] == "M"}
+    checked = reports.hours_check(machine_times(assign_sessions(df)), df).collect()
+    assert {r.serial_number for r in checked} == {"M", None}
+
+
+def test_no_rows_on_site_count_zero_fields(make):
+    df = make(two_sessions(()), COLUMNS)
+    assert [tuple(r) for r in reports.field_count(df).collect()] == [(None, 0)]
+    assert [tuple(r) for r in reports.field_count(df.limit(0)).collect()] == [(None, 0)]
+
+
+def test_a_session_across_the_globe_meets_its_centres(spark, make):
+    """A fix at (0, 0) makes a huge box; it still takes at most four cells."""
+    rows = minutes("M", range(10))
+    rows[3] |= {"gps_longitude": 0.0, "gps_latitude": 0.0}
+    overview = session_overview(assign_sessions(make(rows, COLUMNS)))
+    centers = local_table(spark, [(10.0, 20.0), (20.0, 45.0), (20.2, 45.0), (-1.0, 0.0)], "x double, y double")
+    assert sorted((r.x, r.y) for r in centers_near_session(overview, centers).collect()) == [(10.0, 20.0), (20.0, 45.0)]
+    boxes = overview.select("left", "bottom", "right", "top")
+    assert geo.meet_boxes(centers, boxes, "x", "y").count() <= 4
