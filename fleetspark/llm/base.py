@@ -6,8 +6,10 @@ carriage return, which is what ``bytes.split()`` yields.
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -109,12 +111,24 @@ def rolling(h: np.ndarray, size: int) -> np.ndarray:
     return mixed(done)
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, list[str]]]:
+def per_worker(key: tuple, make: Callable[[], object]):
+    """The object of this key in this Python worker, made when a task first asks for it.
+
+    Functions of this package travel by value, so their globals last no longer than a
+    task; workers are used again, and keep what hangs on an importable module.
+    """
+    held = sys.modules.setdefault("_held_by_this_worker", types.ModuleType("_held_by_this_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
     """Rows of a batch in slices of a bounded number of characters; one text is never cut."""
     start, size, held = 0, 0, []
     for i, text in enumerate(batch.column(column)):
         text = text.as_py() or ""
-        if held and size + len(text) > CHUNK_CHARS:
+        if held and size + len(text) > most:
             yield start, held
             start, size, held = i, 0, []
         held.append(text)

@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fleetspark.llm.base import chunks
+from fleetspark.llm.base import chunks, per_worker
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE = 400_000
+CACHE_BYTES = 160 << 20
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
@@ -128,6 +128,7 @@ class Coder:
         self.original = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes_of = [self._bytes(p, kind) for p, _, kind in self.model.pieces]
         self.known: dict[str, tuple[bytes, bool, bool]] = {}
+        self.held = 0
         self.split = _SEGMENT.findall if self.model.segmented else lambda text: [text] if text else []
 
     @staticmethod
@@ -152,16 +153,19 @@ class Coder:
         return [ids if whole else ids[lead:] for whole, ids in zip(alone, self.original.encode(texts, num_threads=2))]
 
     def learn(self, seen: set[str]) -> None:
-        if len(self.known) > CACHE:
+        if self.held > CACHE_BYTES:
             self.known.clear()
+            self.held = 0
         new = sorted(seen.difference(self.known))
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
+        for a in range(0, len(new), 4_000):
+            some = new[a : a + 4_000]
             rebuilt = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             for segment, got, true in zip(some, rebuilt, self._original(some)):
                 ids = got.ids
                 back = b"".join([self.bytes_of[i] for i in ids]) == segment.replace(MARK, " ").encode()
-                self.known[segment] = np.array(ids, "<u4").tobytes(), ids == true, back
+                raw = np.array(ids, "<u4").tobytes()
+                self.known[segment] = raw, ids == true, back
+                self.held += 240 + len(segment) + len(raw)  # with the objects' own size
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bool, bool]]:
         """For each text its ids as bytes, whether they equal the original's, whether they decode to it."""
@@ -184,9 +188,9 @@ def encoded(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFra
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(model_path)
+        coder = per_worker(("spiece", model_path), lambda: Coder(model_path))
         for batch in batches:
-            for first, texts in chunks(batch):
+            for first, texts in chunks(batch, most=250_000):
                 raw, same, back = zip(*coder.encode(texts))
                 columns = [pa.array([len(r) // 4 for r in raw]), pa.array([zlib.crc32(r) for r in raw]), pa.array(same), pa.array(back)]
                 names = ["doc_id", "n_ids", "ids_crc32", "parity", "round_trip"]
@@ -204,7 +208,7 @@ def decoded(rows: DataFrame, model_path: str) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(model_path)
+        coder = per_worker(("spiece", model_path), lambda: Coder(model_path))
         for batch in batches:
             texts = [coder.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
