@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspark.llm.base import Scratch, chunks
+from fleetspark.llm.base import Scratch, chunks, per_worker
 
 CAPACITY = 2048
 CLASSES = 128
@@ -32,7 +32,7 @@ SHORT = 64
 WASTE = 0.02
 END_ID = 1
 SHARD_ROWS = 100_000
-CACHE_WORDS = 500_000
+CACHE_BYTES = 160 << 20
 
 # A word that ends in a letter and then punctuation: both parts are tokenised apart.
 _TAIL = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,!?;:*$&%#|]+)", re.S)
@@ -52,6 +52,7 @@ class WordIds:
         self.mark = "<|endoftext|>"
         self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _encode(self, new: list[bytes]) -> None:
         plain = [w for w in new if b"<|" not in w]
@@ -69,12 +70,15 @@ class WordIds:
                 self.known[w] = np.array(got.ids, np.uint32).tobytes()
 
     def learn(self, seen: set[bytes]) -> None:
-        if len(self.known) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.known.clear()
+            self.held = 0
+        before = len(self.known)
         new = seen.difference(self.known)
         parts = {w: m.groups() for w in new if b"<|" not in w and (m := _TAIL.fullmatch(w))}
         self._encode(sorted({x for pair in parts.values() for x in pair}.union(new.difference(parts)).difference(self.known)))
         self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in parts.items())
+        self.held += 170 * (len(self.known) - before) + sum(2 * len(w) for w in new)  # with the objects' own size
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.encode().lower().split() for t in texts]
@@ -106,10 +110,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer_path)
+        ids_of = per_worker(("packing", tokenizer_path), lambda: WordIds(tokenizer_path))
         end = np.array([END_ID], np.uint32).tobytes()
         for batch in batches:
-            for first, texts in chunks(batch):
+            for first, texts in chunks(batch, most=500_000):
                 rows, found = [], []
                 for i, raw in enumerate(ids_of.texts(texts)):
                     raw += end
