@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from fleetspark.llm.base import chunks, fold, words
+from fleetspark.llm.base import chunks, fold, per_worker, words
 
 CORES, SHAPES, WIDTH, NEAR = 8192, 512, 32, 2
 TOKENS = CORES + SHAPES
@@ -35,19 +36,19 @@ FOLDS, HELD_OUT = 4, 2
 KEEP_AT = 0.7
 HIDDEN, EPOCHS, BATCH, RATE = 24, 40, 256, 0.005
 
+CHUNK, PIECE = 250_000, 50_000
 _EDGE = re.compile(r"^\W+|\W+$")
-_RUNS = ((re.compile(r"[^\W\d_]*[^\W\d_A-Z][^\W\d_]*"), "a"), (re.compile(r"[A-Z]+"), "A"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1"))
+_LETTERS, _DIGITS, _MARKS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"([^\w\s])\1+")
 
 
 class Tokens(dict):
     """Words to core and shape numbers, as one number; the cache is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        text = word.decode()[:64]
+        text = word.decode()
         core = _EDGE.sub("", text).lower() or text
-        shape = text
-        for run, mark in _RUNS:
-            shape = run.sub(mark, shape)
+        shape = _LETTERS.sub(lambda run: "A" if run[0].isascii() and run[0].isupper() else "a", text)
+        shape = _MARKS.sub(r"\1", _DIGITS.sub("0", shape))
         value = xxh3_64_intdigest(core) % CORES * SHAPES + xxh3_64_intdigest(shape) % SHAPES
         if len(self) > 300_000:
             self.clear()
@@ -59,35 +60,39 @@ def _tokens(texts: list[str], known: Tokens) -> tuple[np.ndarray, np.ndarray, np
     """Cores and shapes of all words of the texts in a row, and each text's number of words."""
     split = [words(t) for t in texts]
     sizes = np.array([len(ws) for ws in split])
-    both = np.fromiter((known[w] for ws in split for w in ws), np.int64, int(sizes.sum()))
+    both = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
     return both // SHAPES, both % SHAPES + CORES, sizes
 
 
 def index_vectors() -> np.ndarray:
     rng = np.random.default_rng(11)
-    table = np.zeros((TOKENS, WIDTH), np.float32)
+    table = np.zeros((TOKENS, WIDTH), np.int8)
     for row in table:
         row[rng.choice(WIDTH, 4, replace=False)] = rng.choice([-1, 1], 4)
     return table
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index, known, total = index_vectors(), Tokens(), np.zeros((TOKENS, WIDTH))
+    index, known, total = index_vectors(), per_worker(("tokens",), Tokens), np.zeros((TOKENS, WIDTH))
     for batch in batches:
-        for _, texts in chunks(batch):
+        for _, texts in chunks(batch, most=CHUNK):
             core, shape, sizes = _tokens(texts, known)
+            if not len(core):
+                continue
             own = index[core] + index[shape]
-            text = np.repeat(np.arange(len(sizes)), sizes)
-            near = np.zeros_like(own)
+            text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            near = np.zeros_like(own)  # at most 2 x 2 x NEAR either way
             for gap in range(1, NEAR + 1):
                 same = (text[gap:] == text[:-gap])[:, None]
                 near[gap:] += own[:-gap] * same
                 near[:-gap] += own[gap:] * same
+            # Distinct pairs of core and shape are added up first; then those few.
+            both = core * SHAPES + shape - CORES
+            order = np.argsort(both, kind="stable")
+            at = np.flatnonzero(np.r_[True, np.diff(both[order]) > 0])
+            sums = np.add.reduceat(near[order], at, axis=0, dtype=np.int32)
             for token in (core, shape):
-                if len(token):
-                    order = np.argsort(token, kind="stable")
-                    at = np.flatnonzero(np.r_[True, np.diff(token[order]) > 0])
-                    total[token[order][at]] += np.add.reduceat(near[order], at, axis=0, dtype=np.float64)
+                np.add.at(total, token[order[at]], sums)
     yield _blocks({b: total[b * BLOCK : (b + 1) * BLOCK] for b in range(TOKENS // BLOCK)}, TaskContext.get().partitionId())
 
 
@@ -128,19 +133,23 @@ def word_vectors(source: DataFrame) -> np.ndarray:
 
 
 def pooled(texts: list[str], vectors: np.ndarray, known: Tokens) -> np.ndarray:
-    """One row of 3 x WIDTH + 1 numbers per text; zeros for a text without words."""
+    """One row of 3 x WIDTH + 1 numbers per text; zeros for a text without words.
+
+    A text is taken in pieces of PIECE words, whatever its length.
+    """
     core, shape, sizes = _tokens(texts, known)
     out = np.zeros((len(texts), 3 * WIDTH + 1), np.float32)
-    full = np.flatnonzero(sizes)
-    if len(full):
-        starts = (np.cumsum(sizes) - sizes)[full]
-        v = vectors[core]
-        beside = np.zeros_like(v)
-        beside[1:] = v[1:] * v[:-1]
-        beside[starts] = 0
-        for i, part in enumerate((v, vectors[shape], beside)):
-            out[full, i * WIDTH : (i + 1) * WIDTH] = np.add.reduceat(part, starts, axis=0, dtype=np.float64) / sizes[full, None]
-        out[full, -1] = np.log1p(sizes[full])
+    starts = np.cumsum(sizes) - sizes
+    for i in np.flatnonzero(sizes).tolist():
+        a, end = int(starts[i]), int(starts[i] + sizes[i])
+        sums = np.zeros((3, WIDTH))
+        sums[1] = np.bincount(shape[a:end] - CORES, minlength=SHAPES) @ vectors[CORES:]
+        for b in range(a, end, PIECE):
+            v = vectors[core[max(a, b - 1) : min(end, b + PIECE)]]  # and the word before, for its product
+            sums[2] += np.einsum("ij,ij->j", v[:-1], v[1:])
+            sums[0] += v[b > a :].sum(0)
+        out[i, :-1] = (sums / sizes[i]).ravel()
+        out[i, -1] = np.log1p(sizes[i])
     return out
 
 
@@ -196,8 +205,9 @@ def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, seed: int = 5) -> N
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """Learn from documents (doc_id, text) and labels (doc_id, quality).
 
-    Labels of the held-out fold are never read. At most ``sample`` labelled ids are used,
-    chosen by hash; of repeated labels the mean counts. Vectors come from all documents.
+    Labels of the held-out fold are never read. At most ``sample`` labelled ids and as
+    many rows of theirs are used, chosen by hash; of repeated labels the mean counts.
+    Vectors come from all documents.
     """
     source = docs.select("doc_id", "text")
     vectors = word_vectors(source)
@@ -208,16 +218,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     )
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Tokens()
+        known = per_worker(("tokens",), Tokens)
         for batch in batches:
-            for first, texts in chunks(batch):
+            for first, texts in chunks(batch, most=CHUNK):
                 x = pooled(texts, vectors, known)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r.tobytes() for r in x], pa.binary()), batch.column("good").slice(first, len(texts)), batch.column("doc_id").slice(first, len(texts))],
                     names=["x", "good", "doc_id"],
                 )
 
-    rows = source.join(F.broadcast(picked), "doc_id").select("text", "good", "doc_id").mapInArrow(features, "x binary, good int, doc_id long").toPandas()
+    rows = source.join(F.broadcast(picked), "doc_id").select("text", "good", "doc_id").mapInArrow(features, "x binary, good int, doc_id long")
+    rows = rows.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "x").limit(sample).toPandas()  # rows, not ids, are bounded
     rows = rows.sort_values(["doc_id", "x"])  # the order of arrival must not matter
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, 3 * WIDTH + 1)
     return train(x, rows["good"].to_numpy(float), vectors)
@@ -229,9 +240,9 @@ def scored(docs: DataFrame, network: Network, out: str = "score") -> DataFrame:
         raise ValueError(f"there is a column {out} already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Tokens()
+        known = per_worker(("tokens",), Tokens)
         for batch in batches:
-            score = [network(pooled(texts, network.vectors, known)) for _, texts in chunks(batch)]
+            score = [network(pooled(texts, network.vectors, known)) for _, texts in chunks(batch, most=CHUNK)]
             column = pa.array(np.concatenate(score) if score else [], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, out])
 
