@@ -33,7 +33,7 @@ SEED = 6
 HOT = 5_000
 
 _TEXT = pa.schema(
-    [("id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("sha", pa.binary()),
+    [("id", pa.int64()), ("given", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("sha", pa.binary()),
      ("anchors", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
 )
 _SPAN = pa.schema(
@@ -64,10 +64,6 @@ def _windows(split: list[list[bytes]], length: int, seed: int):
         yield anchor, own, spans[start : start + count]
 
 
-def _ids(batch: pa.RecordBatch, rows: list[int]) -> pa.Array:
-    return batch.column("id").take(pa.array(rows, pa.int64()))
-
-
 def _anchored(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, texts in chunks(batch):
@@ -81,7 +77,8 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iter
                 anchors.append(signed(found)), times.append(counts)
             yield batch_of(
                 _TEXT,
-                id=_ids(batch, range(first, first + len(texts))),
+                id=batch.column("id").slice(first, len(texts)),
+                given=batch.column("given").slice(first, len(texts)),
                 text_key=[_key(ws) for ws in split],
                 n_words=[len(ws) for ws in split],
                 sha=[hashlib.sha256(b" ".join(ws)).digest() for ws in split],
@@ -180,7 +177,8 @@ def repeated_runs(
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 (and kept_text).
 
     A word goes when a window of ``length`` words covers it whose words also start
-    anywhere else, in the same or another row; windows are those of the input. NULL and
+    anywhere else, in the same or another row; windows are those of the input. Rows with
+    NULL ids are treated like all others, and so are different texts of one id. NULL and
     empty texts have no words; texts shorter than a window lose none. Repeated rows are
     copies of each other. An empty table gives no rows; further columns are not read.
     kept_text is NULL where nothing was removed, so that the source's text can serve.
@@ -190,11 +188,14 @@ def repeated_runs(
     if not 0 < length - seed <= 62:
         raise ValueError("length must exceed seed by 1 to 62 words")
     scratch = Scratch(docs.sparkSession, "substring")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    given = F.col(id_col).cast("long")
+    # A row without an id is found again by its text.
+    instead = -F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 62)) - 1
+    source = docs.select(F.coalesce(given, instead).alias("id"), given.alias("given"), F.col(text_col).alias("text"))
     texts = scratch.put(
         source.mapInArrow(
             lambda it: _anchored(it, length, seed),
-            "id long, text_key long, n_words long, sha binary, anchors array<long>, times array<long>",
+            "id long, given long, text_key long, n_words long, sha binary, anchors array<long>, times array<long>",
         ),
         "texts",
     )
@@ -214,7 +215,7 @@ def repeated_runs(
         .agg(F.min("id").alias("id"), F.collect_set(F.struct("anchor", "hot")).alias("listed")),
         "wanted",
     )
-    packed = source.mapInArrow(packed_texts, "id long, packed binary")
+    packed = source.select("id", "text").mapInArrow(packed_texts, "id long, packed binary")
     spoken = scratch.put(wanted.join(packed, "id"), "spoken")
     spans = scratch.put(
         spoken.select("packed", "text_key", "listed").mapInArrow(
@@ -251,13 +252,13 @@ def repeated_runs(
         lambda it: _kept(it, length, schema), "text_key long, n_removed long, sha binary, kept_text string"
     )
     cut = scratch.put(cut if with_text else cut.drop("kept_text"), "cut")
-    rows = scratch.put(texts.select("id", "text_key", "n_words", "sha"), "rows")
+    rows = scratch.put(texts.select("given", "text_key", "n_words", "sha"), "rows")
     scratch.drop("texts", "wanted", "spoken", "spans")
     copies = rows.groupBy(F.col("sha").alias("text_sha")).agg((F.count("*") > 1).alias("copied"))
     gone = F.col("copied") & (F.col("n_words") >= length)
     removed = F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     kept = F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.lower(F.hex(F.coalesce("cut.sha", "rows.sha"))))
-    columns = [F.col("id").alias("doc_id"), "n_words", removed.cast("long").alias("n_removed"), kept.alias("kept_sha256")]
+    columns = [F.col("given").alias("doc_id"), "n_words", removed.cast("long").alias("n_removed"), kept.alias("kept_sha256")]
     if with_text:
         columns.append(F.when(gone, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
     joined = (

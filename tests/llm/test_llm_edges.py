@@ -125,3 +125,10 @@ def test_chat_and_pages_edges(spark):
     assert len(rows) == 5 and [r["lang"] for r in rows if r["page_id"] == 3] == ["de", "de"]
     assert page_languages(pages.limit(0), docs).collect() == []
     assert {r["lang"] for r in page_languages(pages, docs.limit(0)).collect()} == {None}
+
+
+def test_runs_shared_with_a_row_without_id(spark):
+    shared = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a " + shared), (None, shared + " b"), (None, "c " + shared), (None, None), (None, "short")]
+    got = repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in got) == [(0, 0, 0), (0, 1, 0), (0, 61, 60), (0, 61, 60), (1, 61, 60)]
