@@ -3,6 +3,7 @@
 import corpus_pipeline
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from fleetspark.llm.minhash import near_duplicates
 from fleetspark.llm.quality import quality_scores
@@ -62,3 +63,43 @@ def test_packing_holds_what_is_left(stages):
 def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "a  b"), (3, "c")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.without_copies(spark, docs, SF).collect()) == [1, 3]
+
+
+A, B, C = (" ".join(f"{letter}{i}" for i in range(60)) for letter in "abc")
+ODD = [(1, f"{A} {B}"), (1, f"{A} {C}"), (2, "x y"), (2, "y z"), (0, "y  z"), (None, "n"), (None, None), (3, ""), (4, "n"), (4, "n")]
+CLASH = ("key", "id", "n", "mark", "again", "sha", "one", "run", "rest", "score", "_id", "_kept", "_again", "_score", "kept_text", "kept_")
+
+
+def odd(spark, rows=ODD):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in CLASH:
+        docs = docs.withColumn(name, F.lit(f"clash {name}"))
+    return docs
+
+
+def left(frame, columns):
+    rows = frame.collect()
+    assert frame.columns == columns and all(r[c] == f"clash {c}" for r in rows for c in CLASH)
+    return sorted(((r["doc_id"], r["text"]) for r in rows), key=str)
+
+
+def test_repeated_ids_of_different_texts(spark):
+    docs = odd(spark)
+    exact = left(corpus_pipeline.without_copies(spark, docs, SF), docs.columns)
+    assert exact == sorted([(1, f"{A} {B}"), (1, f"{A} {C}"), (2, "x y"), (0, "y  z"), (4, "n"), (3, "")], key=str)
+    runs = left(corpus_pipeline.without_repeated_runs(spark, docs, SF), docs.columns)
+    assert runs == sorted([(1, B), (1, C), *ODD[2:]], key=str)
+    near = left(corpus_pipeline.without_near_copies(spark, odd(spark, [(1, A), (1, A + " b0"), (1, C), (0, C), (5, B), (None, None)]), SF), docs.columns)
+    assert len(near) == 4 and {t for _, t in near} - {A, A + " b0"} == {C, B, None}
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = odd(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).collect() == [], name
+
+
+def test_quality_keeps_other_columns(spark):
+    docs = odd(spark)
+    kept = left(corpus_pipeline.good_documents(spark, docs, SF), docs.columns)
+    assert set(kept) <= set(ODD)
