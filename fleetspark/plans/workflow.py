@@ -10,9 +10,9 @@ from fleetspark.functions import month_of
 from fleetspark.functions.expressions import MINUTE, TEN_MINUTES
 from fleetspark.operators import cluster, geo, grid, reports, sessions
 from fleetspark.operators.clean import clean_telemetry, drop_header_rows
-from fleetspark.operators.sampling import sample_with_averages
 from fleetspark.operators.ordered import total_order
-from fleetspark.schema import SAMPLED, TIME
+from fleetspark.operators.sampling import sample_with_averages
+from fleetspark.schema import KEY, SAMPLED, TIME
 from fleetspark.sources.tables import read_table, write_table
 
 MONTH = "month"
