@@ -282,3 +282,50 @@ def test_cuts_add_up():
     for tokens in [*range(1, 3000), 123_457]:
         pieces = cut(tokens)
         assert sum(pieces) == tokens and min(pieces) > 0 and max(pieces) <= 2048
+
+
+def crowd(rng, copies):
+    """Copies of a few passages with up to three words changed in each."""
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{rng.randrange(300)}" for _ in range(160)]
+        for _ in range(copies):
+            changed = list(base)
+            for _ in range(rng.randint(0, 3)):
+                changed[rng.randrange(len(base))] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(changed))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("cell", [4, minhash.CELL])
+def test_crowded_cells_lose_no_link(spark, cell):
+    rows = crowd(random.Random(5), 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    common, scale = minhash.word_scale(docs.withColumnRenamed("doc_id", "id"))
+    shingles = {i: minhash.shingle_weights(t.encode().split(), common, scale) for i, t in rows}
+    want = list(range(len(rows)))
+    for a, b in itertools.combinations(want, 2):
+        if minhash.weighted_jaccard(shingles[a], shingles[b]) >= minhash.SIMILARITY:
+            low, high = sorted((want[a], want[b]))
+            want = [low if x == high else x for x in want]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs, cell=cell).collect()}
+    assert [got[i] for i, _ in rows] == want
+    assert 3 <= len(set(want)) < len(rows) / 2
+
+
+def test_a_cell_links_no_class_twice():
+    rows = crowd(random.Random(6), 40)
+    none = np.empty(0, np.uint64), np.empty(0)
+    sets = [minhash.shingle_weights(t.encode().split(), *none) for _, t in rows]
+    total = np.array([w.sum() for _, w in sets])
+    order = np.argsort(total, kind="stable")
+    sampler = minhash.Sampler(minhash.BANDS * minhash.ROWS)
+    samples = np.array([sampler(*sets[i]).astype(np.uint16) for i in order])
+    nodes = [b"%d" % i for i in order]
+    links = minhash._forest(nodes, nodes, samples, total[order], [sets[i] for i in order], 0.8)
+    joined = {n: n for n in nodes}
+    for a, b, similarity in links:
+        assert similarity >= 0.8 and joined[a] != joined[b]  # no cycle
+        assert similarity == pytest.approx(minhash.weighted_jaccard(sets[int(a)], sets[int(b)]))
+        old = joined[b]
+        joined = {n: joined[a] if x == old else x for n, x in joined.items()}
