@@ -11,7 +11,7 @@ equal anchors at the same place, and one document has few anchors.
    travel as one row per anchor; equal (anchor, place, window hash) triples are matches.
 3. The windows that match cover maximal repeats; covered words are removed.
 
-An anchor at more than HOT places is matched by aggregation over its windows, which
+An anchor at more than HOT places is matched by aggregation over its distinct spans, which
 spreads over tasks; others are matched in sorted streams. No pairs are formed.
 """
 
@@ -230,19 +230,27 @@ def repeated_runs(
         .sortWithinPartitions("anchor")
         .mapInArrow(_matched, "text_key long, at int, mask long")
     )
-    # windows of frequent anchors, as rows of eight bytes in hexadecimal order
-    each = (
-        spans.filter("hot")
-        .withColumn("step", F.explode(F.sequence(F.lit(0), F.expr("cast(length(windows) div 8 as int) - 1"))))
-        .select("text_key", "at", "step", "anchor", (F.col("place") - F.col("step")).alias("place"), F.expr("substring(windows, step * 8 + 1, 8)").alias("window"))
+    # Spans of frequent anchors are told apart once; a span found twice repeats in all its
+    # windows, and only the windows of the others, eight bytes each, are looked for.
+    often_met = spans.filter("hot").withColumn("span", F.xxhash64("windows"))
+    groups = scratch.put(
+        often_met.groupBy("anchor", "place", "span", "windows").agg(F.count("*").alias("n"))
+        .withColumn("last", F.expr("cast(length(windows) div 8 as int) - 1")),
+        "groups",
     )
-    # written apart, so that the join back can split a frequent window over tasks
-    again = scratch.put(each.groupBy("anchor", "place", "window").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "again")
-    often = (
-        each.join(again, ["anchor", "place", "window"])
-        .groupBy("text_key", "at")
-        .agg(F.sum(F.expr("shiftleft(1L, step)")).alias("mask"))
+    each = groups.withColumn("step", F.explode(F.sequence(F.lit(0), "last"))).select(
+        "anchor", "place", "span", "step", "n", (F.col("place") - F.col("step")).alias("before"),
+        F.expr("substring(windows, step * 8 + 1, 8)").alias("window"),
     )
+    again = scratch.put(each.groupBy("anchor", "before", "window").agg(F.sum("n").alias("n")).filter("n > 1").drop("n"), "again")
+    single = (
+        each.filter("n = 1").join(again, ["anchor", "before", "window"])
+        .groupBy("anchor", "place", "span").agg(F.sum(F.expr("shiftleft(1L, step)")).alias("mask"))
+    )
+    whole = groups.filter("n > 1").select("anchor", "place", "span", F.expr("shiftleft(1L, last + 1) - 1").alias("mask"))
+    # written apart, so that the join back can split a frequent span over tasks
+    masks = scratch.put(single.unionByName(whole), "masks")
+    often = often_met.join(masks, ["anchor", "place", "span"]).select("text_key", "at", "mask")
     found = (
         cold.unionByName(often).groupBy("text_key").agg(F.collect_list(F.struct("at", "mask")).alias("spans"))
     )
