@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from xxhash import xxh3_64_intdigest
 
 from fleetspark.llm import brown, chat, minhash
 from fleetspark.llm.base import rolling
@@ -127,8 +128,10 @@ def test_blocks_tell_texts_apart(spark):
 
 
 def test_class_scores_by_brute_force(spark, texts, monkeypatch):
-    monkeypatch.setattr(brown, "FREQUENT", 500)
-    monkeypatch.setattr(brown, "ITEMS", 40)
+    monkeypatch.setattr(brown, "FREQUENT", 5000)
+    monkeypatch.setattr(brown, "CORE", 40)
+    models, fit = [], brown.fit
+    monkeypatch.setattr(brown, "fit", lambda *given: models.append(fit(*given)) or models[0])
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     counts = collections.Counter()
     for i, t in texts.items():
@@ -140,25 +143,74 @@ def test_class_scores_by_brute_force(spark, texts, monkeypatch):
         tokens = [*brown.lowered(texts[r["doc_id"]]), None]
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in tokens))
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(counts[t] > 0 for t in tokens), n)
+    # the score again from the classes alone
+    vocabulary, classes, _, _ = models[0]
+    number = {int(h): i + 1 for i, h in enumerate(vocabulary.words)}
+    at = {t: 0 if t is None else number.get(xxh3_64_intdigest(t), len(number) + 1) for t in {t for x in texts.values() for t in [*brown.lowered(x), None]}}
+    often = {t for t in counts if t is not None and counts[t] * 5000 >= n}
+    assert {t for t in counts if 0 < at[t] <= len(number)} == often and len(often) > 40
+    moved = {classes[at[t]] for t in often}
+    assert classes[0] == 0 and classes[-1] == brown.CLASSES - 1 and not {0, brown.CLASSES - 1} & moved and len(moved) > 5
+    steps, before, inside = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            chain = [0, *(classes[at[w]] for w in [*brown.lowered(t), None])]
+            steps.update(zip(chain, chain[1:]))
+    for (a, b), m in steps.items():
+        before[a] += m
+        inside[b] += m
+    shares = [(inside[c] + 1) / (n + brown.CLASSES) for c in range(brown.CLASSES)]
+    mass = collections.Counter()
+    for t in often:
+        mass[classes[at[t]]] += counts[t] + 0.5
+    seldom = [m for t, m in counts.items() if t is not None and t not in often]
+    for r in rows[::7]:
+        total, last = 0.0, 0
+        for t in [*brown.lowered(texts[r["doc_id"]]), None]:
+            c = classes[at[t]]
+            total += math.log10((steps[last, c] + 5 * shares[c]) / (before[last] + 5))
+            if t in often:
+                total += math.log10((counts[t] + 0.5) / mass[c])
+            elif t is not None:
+                total += math.log10((counts[t] + 1) / (sum(seldom) + len(seldom) + 1))
+            last = c
+        assert r["score"] == pytest.approx(total)
     held = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
 def test_transitions_are_probabilities():
-    rng = np.random.default_rng(2)
-    pairs = rng.integers(0, 9, (60, 60)).astype(float)
-    own = brown.exchange(pairs, classes=6)
-    assert own[0] == 0 and (own[1:] > 0).all()
-    assert np.allclose((10 ** brown.transition_scores(pairs, own, 6)).sum(axis=1), 1)
+    table = np.random.default_rng(2).integers(0, 9, (6, 6)).astype(float)
+    assert np.allclose((10 ** brown.transition_scores(table)).sum(axis=1), 1)
 
 
 def test_exchange_finds_classes():
     rng = np.random.default_rng(4)
-    true = np.r_[0, rng.integers(1, 4, 59)]
-    likely = rng.random((4, 4)) ** 4
+    true = np.r_[0, rng.integers(1, 4, 59), 4]
+    likely = rng.random((5, 5)) ** 4
     pairs = rng.poisson(200 * likely[np.ix_(true, true)]).astype(float)
-    own = brown.exchange(pairs, classes=4)
-    assert max(np.mean(np.array([0, *p])[own] == true) for p in itertools.permutations((1, 2, 3))) > 0.95
+    own = brown.exchange(pairs, classes=5)
+    assert own[0] == 0 and own[-1] == 4
+    assert max(np.mean(np.array([0, *p, 4])[own] == true) for p in itertools.permutations((1, 2, 3))) > 0.95
+
+
+def test_best_class_by_likelihood():
+    """The chosen class is the one under which the whole table is likeliest."""
+    rng = np.random.default_rng(8)
+    k = 6
+    table = rng.integers(40, 90, (k, k)).astype(float)
+    own, owner, cell, n = np.array([2, 5]), np.array([0, 0, 0, 1, 1]), np.array([1, 3, k + 4, 2, k + 0]), np.array([9.0, 30, 25, 12, 31])
+    got = brown.best_classes(own, owner, cell, n, table)
+    phi = lambda x: (x * np.log(x)).sum()
+    for w in range(2):
+        likely = []
+        for c in range(1, k - 1):
+            moved = table.copy()
+            for d, m in zip(cell[owner == w], n[owner == w]):
+                for to, sign in ((own[w], -1), (c, 1)):
+                    moved[(d, to) if d < k else (to, d - k)] += sign * m
+            likely.append(phi(moved) - phi(moved.sum(0)) - phi(moved.sum(1)))
+        assert got[w] == 1 + int(np.argmax(likely))
 
 
 def test_line_counts_by_brute_force(spark, texts):
