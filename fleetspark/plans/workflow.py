@@ -13,13 +13,11 @@ from fleetspark.operators.clean import clean_telemetry, drop_header_rows
 from fleetspark.operators.ordered import total_order
 from fleetspark.operators.sampling import sample_with_averages
 from fleetspark.schema import KEY, SAMPLED, TIME
-from fleetspark.sources.tables import read_table, write_table
-
-MONTH = "month"
+from fleetspark.sources.tables import MONTH, read_table, write_table
 
 
 def _store(df: DataFrame, path: str, if_exists: str = "overwrite") -> DataFrame:
-    """Write by month, so that time ranges skip folders, and read the stored table back."""
+    """Write by month, so that `read_range` skips folders, and read the stored table back."""
     write_table(df.withColumn(MONTH, month_of(TIME)), path, if_exists, partition_by=[MONTH])
     return read_table(df.sparkSession, path)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, datetime, time, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fleetspark.schema import RAW_SCHEMA
+from fleetspark.schema import RAW_SCHEMA, TIME
+
+#: Column by which stored tables are cut into folders, as text like 2024-01.
+MONTH = "month"
 
 
 def read_raw(spark: SparkSession, path: str | list[str], fmt: str = "csv", **options) -> DataFrame:
@@ -25,6 +29,24 @@ def read_table(spark: SparkSession, name_or_path: str) -> DataFrame:
     return spark.table(name_or_path)
 
 
+def read_range(
+    spark: SparkSession, name_or_path: str, start: date | datetime, end: date | datetime
+) -> DataFrame:
+    """Rows of a stored table with start <= time < end; a date stands for its midnight.
+
+    Where the table lies in folders by month, the months of the range are derived from
+    its ends, so that other folders are not listed or read. Rows without a time are in no
+    range, and an end at or before the start leaves none.
+    """
+    first, past = (x if isinstance(x, datetime) else datetime.combine(x, time()) for x in (start, end))
+    df = read_table(spark, name_or_path)
+    rows = df.filter((F.col(TIME) >= F.lit(first)) & (F.col(TIME) < F.lit(past)))
+    if MONTH not in df.columns:
+        return rows
+    last = past - timedelta(microseconds=1)
+    return rows.filter(F.col(MONTH).between(f"{first:%Y-%m}", f"{last:%Y-%m}"))
+
+
 def read_jdbc(
     spark: SparkSession, url: str, query: str, properties: dict[str, str] | None = None
 ) -> DataFrame:

@@ -1,14 +1,16 @@
 """What Spark makes of the operators: pushdown, pruning, bounded windows, no pair joins."""
 
 import re
-from datetime import date
+from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetspark.catalog.queries import CENTERS, QUERIES, TIES
 from fleetspark.operators import explore, geo, grid, sampling
 from fleetspark.sources.events import telemetry
-from fleetspark.sources.tables import local_table, read_table, write_table
+from fleetspark.functions import month_of
+from fleetspark.sources.tables import MONTH, local_table, read_range, read_table, write_table
 
 SF_DIR = "/root/testdata/sf0.001"
 ITERATIVE = {"wss_curve", "field_centers", "q1_clustered", "correlation_matrix"}
@@ -89,3 +91,47 @@ def test_no_pair_joins_and_no_python_rows(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
     for risky in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"):
         assert risky not in text
+
+
+@pytest.fixture(scope="module")
+def by_month(spark, tmp_path_factory):
+    """The test data and the same rows 31, 62 and 400 days later, one row without a time."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    path = str(tmp_path_factory.mktemp("tables") / "by_month")
+    rows = telemetry(spark, SF_DIR)
+    later = [rows.withColumn("date_time", rows.date_time + timedelta(days=n)) for n in (31, 62, 400)]
+    none = rows.limit(1).withColumn("date_time", F.lit(None).cast(rows.schema["date_time"].dataType))
+    for part in (*later, none):
+        rows = rows.unionByName(part)
+    write_table(rows.withColumn(MONTH, month_of("date_time")), path, partition_by=[MONTH])
+    return path
+
+
+@pytest.mark.parametrize(
+    "start, end, months",
+    [
+        (date(2024, 1, 5), date(2024, 1, 9), ("2024-01", "2024-01")),
+        (date(2024, 1, 20), date(2024, 3, 1), ("2024-01", "2024-02")),
+        (datetime(2024, 1, 31, 23), datetime(2024, 2, 1), ("2024-01", "2024-01")),
+        (datetime(2024, 2, 3, 7), datetime(2024, 2, 3, 8), ("2024-02", "2024-02")),
+        (date(2023, 12, 1), date(2025, 6, 1), ("2023-12", "2025-05")),
+    ],
+)
+def test_time_ranges_skip_months(spark, by_month, start, end, months):
+    rows = read_range(spark, by_month, start, end)
+    filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters: \[(.*?)\], ReadSchema", plan(rows))
+    assert f"isnotnull({MONTH}#" in filters.group(1)
+    assert f">= {months[0]})" in filters.group(1) and f"<= {months[1]})" in filters.group(1)
+    assert "GreaterThanOrEqual(date_time," in filters.group(2) and "LessThan(date_time," in filters.group(2)
+    whole = read_table(spark, by_month)
+    want = whole.filter((F.col("date_time") >= F.lit(str(start)).cast("timestamp_ntz")) & (F.col("date_time") < F.lit(str(end)).cast("timestamp_ntz")))
+    assert rows.count() == want.count() and rows.exceptAll(want).isEmpty()
+    assert isinstance(start, datetime) or not rows.isEmpty()  # the small data has no row in some hours
+
+
+def test_ranges_without_rows_and_tables_without_months(spark, by_month, stored, tmp_path):
+    assert read_range(spark, by_month, date(2024, 1, 9), date(2024, 1, 9)).isEmpty()
+    path = str(tmp_path / "plain")
+    write_table(stored, path)
+    got = read_range(spark, path, date(2024, 1, 5), date(2024, 1, 9))
+    assert got.count() == stored.filter("date_time >= '2024-01-05' and date_time < '2024-01-09'").count() > 0
