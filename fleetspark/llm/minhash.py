@@ -16,9 +16,9 @@ meets in cells: a bucket is a cell, and a pair counts in the first band that it
 Texts travel once for each cell in which a document has a candidate, never once a pair; a
 cell keeps the shingles of its documents, compares candidates of different classes, and
 emits at most one link fewer than it has documents. A bucket of more than ``cell``
-documents, or of more than ``CELL_WEIGHT`` shingles, is compared in its parts that also
-share a second band (a pair at 0.8 misses all of them with probability 0.0025), and a part
-as large in pairs of blocks. Every link is verified on the whole texts by weighted Jaccard
+documents, or of more than ``CELL_WEIGHT`` shingles, is compared in pairs of blocks: every
+two of its documents near enough in weight meet, but for those of its largest class, which
+are linked already. Every link is verified on the whole texts by weighted Jaccard
 similarity. Identical texts are one node throughout.
 """
 
@@ -289,17 +289,29 @@ def _joined(batches: Iterator[pa.RecordBatch], common: np.ndarray, scale: np.nda
 
 
 def _cells(at: DataFrame, width: float, cell: int) -> DataFrame:
-    """(cell, band, node, root, bands, samples, total): nodes of a bucket that can be near meet in a cell."""
+    """(cell, band, node, root, bands, samples, total): every two nodes of a bucket that can be near meet in a cell.
+
+    A bucket that does not fit is parted by weight. A part is dealt to blocks, those of its
+    largest class apart; every two blocks are a cell, except two of that class.
+    """
     columns = ["node", "root", "bands", "samples", "total"]
     fits = (F.col("size") <= cell) & (F.col("weight") <= CELL_WEIGHT)
     small = at.filter(fits).select(F.col("bucket").alias("cell"), "band", *columns)
-    parts = at.filter(~fits).select("bucket", "band", F.posexplode("bands").alias("j", "key"), *columns).filter("j != band")
     bin_ = F.floor(F.log("total") / width)
-    parts = parts.withColumn("bin", F.explode(F.array(bin_, bin_ + 1))).withColumn("part", F.xxhash64("bucket", "j", "key", "bin"))
-    blocks = parts.groupBy("part").agg(F.count("*").alias("n"), F.sum("total").alias("weight")).filter("n > 1")
-    blocks = blocks.select("part", F.ceil(F.greatest(F.col("n") / cell, F.col("weight") / CELL_WEIGHT)).cast("long").alias("blocks"))
-    parts = parts.join(blocks, "part").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-    parts = parts.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    parts = at.filter(~fits).withColumn("bin", F.explode(F.array(bin_, bin_ + 1))).withColumn("part", F.xxhash64("bucket", "bin"))
+    classes = parts.groupBy("part", "root").agg(F.count("*").alias("n"), F.sum("total").alias("weight"))
+    blocks = classes.groupBy("part").agg(
+        F.max(F.struct("n", "root", "weight")).alias("most"), F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("weight").alias("weight")
+    ).filter("classes > 1")
+    needed = lambda n, weight: F.ceil(F.greatest(n / cell, weight / CELL_WEIGHT, F.lit(1.0))).cast("long")
+    blocks = blocks.select(
+        "part", F.col("most.root").alias("largest"), needed(F.col("most.n"), F.col("most.weight")).alias("own_blocks"),
+        needed(F.col("n") - F.col("most.n"), F.col("weight") - F.col("most.weight")).alias("blocks"),
+    )
+    parts = parts.join(blocks, "part").withColumn("inside", F.col("root") == F.col("largest"))
+    parts = parts.withColumn(
+        "own", F.expr("if(inside, blocks + pmod(xxhash64(node), own_blocks), pmod(xxhash64(node), blocks))")
+    ).withColumn("other", F.explode(F.expr("sequence(0L, if(inside, blocks, blocks + own_blocks) - 1)"))).filter("own != other")
     low, high = F.least("own", "other"), F.greatest("own", "other")
     # every pair of a part counts there, whatever bands it shares
     return small.unionByName(parts.select(F.xxhash64("part", low, high).alias("cell"), F.lit(0).alias("band"), *columns))

@@ -381,3 +381,22 @@ def test_a_cell_links_no_class_twice():
         assert similarity == pytest.approx(minhash.weighted_jaccard(sets[int(a)], sets[int(b)]))
         old = joined[b]
         joined = {n: joined[a] if x == old else x for n, x in joined.items()}
+
+
+def test_every_pair_of_a_crowded_bucket_meets(spark):
+    """Nodes that share no second band, in classes of one, two and many."""
+    rng = random.Random(3)
+    roots = [b"a"] * 9 + [b"b"] * 2 + [b"%d" % i for i in range(5)]
+    rows = [
+        (1, 0, len(roots), 1000.0, b"n%d" % i, root, [7] + [rng.randrange(10**9) for _ in range(11)], [0] * 36, 100.0 + i)
+        for i, root in enumerate(roots)
+    ]
+    at = spark.createDataFrame(
+        rows, "bucket long, band int, size long, weight double, node binary, root binary, bands array<long>, samples array<short>, total double"
+    )
+    cells = collections.defaultdict(set)
+    for r in minhash._cells(at, -float(np.log(0.8)), 3).collect():
+        cells[r["cell"]].add((bytes(r["node"]), bytes(r["root"])))
+    met = {frozenset((a, b)) for c in cells.values() for (a, x), (b, y) in itertools.combinations(c, 2) if x != y}
+    assert met == {frozenset((b"n%d" % i, b"n%d" % j)) for i, j in itertools.combinations(range(len(roots)), 2) if roots[i] != roots[j]}
+    assert max(map(len, cells.values())) < len(roots)
