@@ -11,8 +11,8 @@ equal anchors at the same place, and one document has few anchors.
    travel as one row per anchor; equal (anchor, place, window hash) triples are matches.
 3. The windows that match cover maximal repeats; covered words are removed.
 
-An anchor at more than HOT places is matched by aggregation over its distinct spans, which
-spreads over tasks; others are matched in sorted streams. No pairs are formed.
+An anchor at more than HOT places is matched by aggregation over its distinct spans, in
+shares of about HOT / 10 places, which spreads over tasks; others are matched in sorted streams. No pairs are formed.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ _TEXT = pa.schema(
      ("anchors", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
 )
 _SPAN = pa.schema(
-    [("anchor", pa.int64()), ("hot", pa.bool_()), ("text_key", pa.int64()), ("at", pa.int32()),
+    [("anchor", pa.int64()), ("shares", pa.int64()), ("text_key", pa.int64()), ("at", pa.int32()),
      ("place", pa.int32()), ("windows", pa.binary())]
 )
 _MATCH = pa.schema([("text_key", pa.int64()), ("at", pa.int32()), ("mask", pa.int64())])
@@ -104,7 +104,7 @@ def _spanned(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Itera
             where = np.minimum(np.searchsorted(wanted, seeds), len(wanted) - 1)
             for j in np.flatnonzero(wanted[where] == seeds):
                 a, b = starts[j], ends[j]
-                rows.append((seeds[j], listed[where[j]]["hot"], key, a, anchor[a] - a, spans[a:b].tobytes()))
+                rows.append((seeds[j], listed[where[j]]["shares"], key, a, anchor[a] - a, spans[a:b].tobytes()))
             if len(rows) > 5000:
                 yield batch_of(_SPAN, **dict(zip(_SPAN.names, zip(*rows))))
                 rows = []
@@ -207,12 +207,12 @@ def repeated_runs(
         listed.groupBy("anchor")
         .agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("times").alias("most"), F.sum("times").alias("places"))
         .filter("low != high or most > 1")
-        .select("anchor", (F.col("places") > hot).alias("hot"))
+        .select("anchor", F.when(F.col("places") > hot, F.ceil(F.col("places") * 10 / max(hot, 10))).otherwise(0).cast("long").alias("shares"))
     )
     wanted = scratch.put(
         listed.drop("times").join(shared, "anchor")
         .groupBy("text_key")
-        .agg(F.min("id").alias("id"), F.collect_set(F.struct("anchor", "hot")).alias("listed")),
+        .agg(F.min("id").alias("id"), F.collect_set(F.struct("anchor", "shares")).alias("listed")),
         "wanted",
     )
     packed = source.select("id", "text").mapInArrow(packed_texts, "id long, packed binary")
@@ -220,37 +220,46 @@ def repeated_runs(
     spans = scratch.put(
         spoken.select("packed", "text_key", "listed").mapInArrow(
             lambda it: _spanned(it, length, seed),
-            "anchor long, hot boolean, text_key long, at int, place int, windows binary",
+            "anchor long, shares long, text_key long, at int, place int, windows binary",
         ),
         "spans",
     )
     cold = (
-        spans.filter("not hot")
+        spans.filter("shares = 0")
         .repartition("anchor")
         .sortWithinPartitions("anchor")
         .mapInArrow(_matched, "text_key long, at int, mask long")
     )
     # Spans of frequent anchors are told apart once; a span found twice repeats in all its
     # windows, and only the windows of the others, eight bytes each, are looked for.
-    often_met = spans.filter("hot").withColumn("span", F.xxhash64("windows"))
+    # The places of a span are listed by shares, so that only a span's last place in a share
+    # has to ask whether there are others.
+    spots = F.collect_list(F.struct("text_key", "at"))
+    shares = scratch.put(
+        spans.filter("shares > 0").withColumn("span", F.xxhash64("windows"))
+        .groupBy("anchor", "place", "span", "windows", F.pmod(F.xxhash64("text_key", "at"), "shares").alias("share"))
+        .agg(F.count("*").alias("n"), spots.alias("spots")),
+        "shares",
+    )
     groups = scratch.put(
-        often_met.groupBy("anchor", "place", "span", "windows").agg(F.count("*").alias("n"))
+        shares.groupBy("anchor", "place", "span", "windows").agg(F.sum("n").alias("n"), F.min(F.col("spots")[0]).alias("spot"))
         .withColumn("last", F.expr("cast(length(windows) div 8 as int) - 1")),
         "groups",
     )
     each = groups.withColumn("step", F.explode(F.sequence(F.lit(0), "last"))).select(
-        "anchor", "place", "span", "step", "n", (F.col("place") - F.col("step")).alias("before"),
+        "anchor", "place", "span", "step", "n", "spot", (F.col("place") - F.col("step")).alias("before"),
         F.expr("substring(windows, step * 8 + 1, 8)").alias("window"),
     )
     again = scratch.put(each.groupBy("anchor", "before", "window").agg(F.sum("n").alias("n")).filter("n > 1").drop("n"), "again")
     single = (
         each.filter("n = 1").join(again, ["anchor", "before", "window"])
-        .groupBy("anchor", "place", "span").agg(F.sum(F.expr("shiftleft(1L, step)")).alias("mask"))
+        .groupBy("spot").agg(F.sum(F.expr("shiftleft(1L, step)")).alias("mask")).select("spot", "mask")
     )
-    whole = groups.filter("n > 1").select("anchor", "place", "span", F.expr("shiftleft(1L, last + 1) - 1").alias("mask"))
-    # written apart, so that the join back can split a frequent span over tasks
-    masks = scratch.put(single.unionByName(whole), "masks")
-    often = often_met.join(masks, ["anchor", "place", "span"]).select("text_key", "at", "mask")
+    whole = F.expr("shiftleft(1L, cast(length(windows) div 8 as int)) - 1").alias("mask")
+    many = shares.filter("n > 1").select(F.explode("spots").alias("spot"), whole)
+    spread = groups.filter("n > 1").select("anchor", "place", "span")
+    lone = shares.filter("n = 1").join(spread, ["anchor", "place", "span"], "left_semi").select(F.col("spots")[0].alias("spot"), whole)
+    often = single.unionByName(many).unionByName(lone).select("spot.text_key", "spot.at", "mask")
     found = (
         cold.unionByName(often).groupBy("text_key").agg(F.collect_list(F.struct("at", "mask")).alias("spans"))
     )

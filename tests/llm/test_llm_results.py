@@ -400,3 +400,17 @@ def test_every_pair_of_a_crowded_bucket_meets(spark):
     met = {frozenset((a, b)) for c in cells.values() for (a, x), (b, y) in itertools.combinations(c, 2) if x != y}
     assert met == {frozenset((b"n%d" % i, b"n%d" % j)) for i, j in itertools.combinations(range(len(roots)), 2) if roots[i] != roots[j]}
     assert max(map(len, cells.values())) < len(roots)
+
+
+def test_frequent_spans_are_joined_by_shares(spark, monkeypatch):
+    """Copies of a passage with own words behind: the places of its spans travel in lists."""
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([*passage, *(f"x{i}y{j}" for j in range(5))])) for i in range(300)] + [(300, " ".join(passage[1:50]))]
+    kept = {}
+    put = Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, frame, name: kept.setdefault(name, put(self, frame, name)))
+    got = {r["doc_id"]: r["n_removed"] for r in repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"), hot=100).collect()}
+    assert got == {i: 60 for i in range(300)} | {300: 49}
+    shares = kept["shares"]
+    places = shares.selectExpr("sum(n)").first()[0]
+    assert places > 600 and shares.count() < places / 3
