@@ -41,15 +41,31 @@ _EDGE = re.compile(r"^\W+|\W+$")
 _LETTERS, _DIGITS, _MARKS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"([^\w\s])\1+")
 
 
+def core_and_shape(text: str) -> tuple[str, str]:
+    core = _EDGE.sub("", text).lower() or text
+    shape = _LETTERS.sub(lambda run: "A" if run[0].isascii() and run[0].isupper() else "a", text)
+    return core, _MARKS.sub(r"\1", _DIGITS.sub("0", shape))
+
+
+_PLAIN = {a + b: xxh3_64_intdigest(a + b) % SHAPES for a in "Aa" for b in ["", *"!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"]}
+
+
 class Tokens(dict):
-    """Words to core and shape numbers, as one number; the cache is bounded."""
+    """Words to core and shape numbers, as one number; the cache is bounded.
+
+    Letters alone, or with one mark behind them, which most words are, need no patterns.
+    """
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode()
-        core = _EDGE.sub("", text).lower() or text
-        shape = _LETTERS.sub(lambda run: "A" if run[0].isascii() and run[0].isupper() else "a", text)
-        shape = _MARKS.sub(r"\1", _DIGITS.sub("0", shape))
-        value = xxh3_64_intdigest(core) % CORES * SHAPES + xxh3_64_intdigest(shape) % SHAPES
+        letters, mark = (text, "") if text.isalpha() else (text[:-1], text[-1])
+        plain = _PLAIN.get(("A" if letters.isascii() and letters.isupper() else "a") + mark) if letters.isalpha() else None
+        if plain is None:
+            core, shape = core_and_shape(text)
+            plain = xxh3_64_intdigest(shape) % SHAPES
+        else:
+            core = letters.lower()
+        value = xxh3_64_intdigest(core) % CORES * SHAPES + plain
         if len(self) > 300_000:
             self.clear()
         self[word] = value
@@ -86,13 +102,11 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 same = (text[gap:] == text[:-gap])[:, None]
                 near[gap:] += own[:-gap] * same
                 near[:-gap] += own[gap:] * same
-            # Distinct pairs of core and shape are added up first; then those few.
-            both = core * SHAPES + shape - CORES
-            order = np.argsort(both, kind="stable")
-            at = np.flatnonzero(np.r_[True, np.diff(both[order]) > 0])
-            sums = np.add.reduceat(near[order], at, axis=0, dtype=np.int32)
+            # Rows of distinct tokens are added up first, so that each token is met once.
             for token in (core, shape):
-                np.add.at(total, token[order[at]], sums)
+                order = np.argsort(token.astype(np.int16), kind="stable")
+                at = np.flatnonzero(np.r_[True, np.diff(token[order]) > 0])
+                total[token[order[at]]] += np.add.reduceat(near[order], at, axis=0, dtype=np.int32)
     yield _blocks({b: total[b * BLOCK : (b + 1) * BLOCK] for b in range(TOKENS // BLOCK)}, TaskContext.get().partitionId())
 
 

@@ -414,3 +414,16 @@ def test_frequent_spans_are_joined_by_shares(spark, monkeypatch):
     shares = kept["shares"]
     places = shares.selectExpr("sum(n)").first()[0]
     assert places > 600 and shares.count() < places / 3
+
+
+def test_plain_words_have_the_tokens_of_all_words():
+    from xxhash import xxh3_64_intdigest
+
+    from fleetspark.llm import quality
+
+    words = ["word", "Word", "WORD", "WORD,", "word.", "Éa", "É", "ABÉ", "a_", "_", "x1", "1", "?", "??", "a??", "don't", "İx", "²", "a²", "a ", "á"]
+    known = quality.Tokens()
+    for word in words:
+        core, shape = quality.core_and_shape(word)
+        want = xxh3_64_intdigest(core) % quality.CORES * quality.SHAPES + xxh3_64_intdigest(shape) % quality.SHAPES
+        assert known[word.encode()] == want
