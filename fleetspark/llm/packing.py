@@ -42,7 +42,8 @@ class WordIds:
     """Ids of lower-cased words by a tokenizer that drops white space, with a bounded cache.
 
     Such a tokenizer never joins across white space, so a text's ids are its words' ids
-    in a row. New words are encoded many at a time, parted by a special token.
+    in a row. New words are encoded many at a time: letters alone, each one piece whose last
+    id ends a word, with spaces between, all others parted by a special token.
     """
 
     def __init__(self, path: str):
@@ -51,19 +52,35 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = "<|endoftext|>"
         self.mark_id = self.tokenizer.token_to_id(self.mark)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.held = 0
 
+    def _cut(self, group: list[bytes], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        raw = ids.tobytes()
+        self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(group, starts.tolist(), stops.tolist(), strict=True))
+
     def _encode(self, new: list[bytes]) -> None:
-        plain = [w for w in new if b"<|" not in w]
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        apart, letters = [], []
+        for w in new:
+            if b"<|" not in w:
+                (letters if w.isalpha() or w.decode().isalpha() else apart).append(w)
+        groups = [letters[i : i + 256] for i in range(0, len(letters), 256)]
+        joined = [b" ".join(g).decode() for g in groups]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(got.ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(group):  # every word ends at least once, so each has ended once
+                self._cut(group, ids, np.r_[0, stops[:-1]], stops)
+            else:
+                apart += group
+        groups = [apart[i : i + 256] for i in range(0, len(apart), 256)]
         joined = [self.mark.join(w.decode() for w in g) for g in groups]
         for group, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(got.ids, np.uint32)
             cuts = np.flatnonzero(ids == self.mark_id)
-            starts, ends = np.r_[0, cuts + 1] * 4, np.r_[cuts, len(ids)] * 4
-            raw = ids.tobytes()
-            self.known.update((w, raw[a:b]) for w, a, b in zip(group, starts.tolist(), ends.tolist(), strict=True))
+            self._cut(group, ids, np.r_[0, cuts + 1], np.r_[cuts, len(ids)])
         for w in new:
             if b"<|" in w:
                 got = self.tokenizer.encode(w.decode(), add_special_tokens=False)

@@ -427,3 +427,16 @@ def test_plain_words_have_the_tokens_of_all_words():
         core, shape = quality.core_and_shape(word)
         want = xxh3_64_intdigest(core) % quality.CORES * quality.SHAPES + xxh3_64_intdigest(shape) % quality.SHAPES
         assert known[word.encode()] == want
+
+
+def test_words_parted_by_spaces_have_the_ids_of_single_ones():
+    from fleetspark.llm.packing import WordIds
+
+    coder = WordIds(tokenizer_file("word_bpe_49k.json"))
+    words = ["plain", "été", "straße", "İstanbul", "don't", "x1y", "a</w>b", "<|endoftext|>", "ét", "日本語", "ﬁne", "zzzzqqq", "a,b", "end."]
+    for some in (words, words[:3], words[3:]):
+        coder.known.clear()
+        coder.learn({w.encode().lower() for w in some})
+        for w in some:
+            ids = coder.tokenizer.encode(w.encode().lower().decode(), add_special_tokens=False).ids
+            assert coder.known[w.encode().lower()] == np.array(ids, np.uint32).tobytes(), w
