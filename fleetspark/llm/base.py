@@ -115,12 +115,14 @@ def per_worker(key: tuple, make: Callable[[], object]):
     """The object of this key in this Python worker, made when a task first asks for it.
 
     Functions of this package travel by value, so their globals last no longer than a
-    task; workers are used again, and keep what hangs on an importable module.
+    task; workers are used again, and keep what hangs on an importable module. A worker
+    keeps the last object only, so the stages of a pipeline do not add up.
     """
     held = sys.modules.setdefault("_held_by_this_worker", types.ModuleType("_held_by_this_worker")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    if held.get("key") != key:
+        held.clear()
+        held.update(object=make(), key=key)
+    return held["object"]
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:

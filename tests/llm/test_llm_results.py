@@ -440,3 +440,16 @@ def test_words_parted_by_spaces_have_the_ids_of_single_ones():
         for w in some:
             ids = coder.tokenizer.encode(w.encode().lower().decode(), add_special_tokens=False).ids
             assert coder.known[w.encode().lower()] == np.array(ids, np.uint32).tobytes(), w
+
+
+def test_a_worker_keeps_one_object(monkeypatch):
+    import sys
+
+    from fleetspark.llm.base import per_worker
+
+    monkeypatch.delitem(sys.modules, "_held_by_this_worker", raising=False)
+    first = per_worker(("a", 1), list)
+    assert per_worker(("a", 1), list) is first
+    per_worker(("b",), dict)
+    held = sys.modules["_held_by_this_worker"].__dict__.values()
+    assert not any(x is first for x in held)
