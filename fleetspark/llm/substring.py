@@ -11,8 +11,10 @@ equal anchors at the same place, and one document has few anchors.
    travel as one row per anchor; equal (anchor, place, window hash) triples are matches.
 3. The windows that match cover maximal repeats; covered words are removed.
 
-An anchor at more than HOT places is matched by aggregation over its distinct spans, in
-shares of about HOT / 10 places, which spreads over tasks; others are matched in sorted streams. No pairs are formed.
+An anchor at more than HOT places is matched by aggregation over its distinct spans, counted
+inside the map tasks; others are matched in sorted streams. No pairs are formed. A frequent
+anchor's span counts as repeated in its text unless the aggregation found it once: only the
+spans found once are sent back to their texts.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ _TEXT = pa.schema(
      ("anchors", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
 )
 _SPAN = pa.schema(
-    [("anchor", pa.int64()), ("shares", pa.int64()), ("text_key", pa.int64()), ("at", pa.int32()),
-     ("place", pa.int32()), ("windows", pa.binary())]
+    [("anchor", pa.int64()), ("frequent", pa.bool_()), ("text_key", pa.int64()), ("at", pa.int32()),
+     ("place", pa.int32()), ("size", pa.int32()), ("windows", pa.binary())]
 )
 _MATCH = pa.schema([("text_key", pa.int64()), ("at", pa.int32()), ("mask", pa.int64())])
 
@@ -104,7 +106,7 @@ def _spanned(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Itera
             where = np.minimum(np.searchsorted(wanted, seeds), len(wanted) - 1)
             for j in np.flatnonzero(wanted[where] == seeds):
                 a, b = starts[j], ends[j]
-                rows.append((seeds[j], listed[where[j]]["shares"], key, a, anchor[a] - a, spans[a:b].tobytes()))
+                rows.append((seeds[j], listed[where[j]]["frequent"], key, a, anchor[a] - a, b - a, spans[a:b].tobytes()))
             if len(rows) > 5000:
                 yield batch_of(_SPAN, **dict(zip(_SPAN.names, zip(*rows))))
                 rows = []
@@ -159,15 +161,21 @@ def _kept(batches: Iterator[pa.RecordBatch], length: int, schema: pa.Schema) ->
         for packed, key, spans in zip(*(batch.column(c).to_pylist() for c in ("packed", "text_key", "spans"))):
             ws = words(opener.decompress(packed).decode())
             change = np.zeros(len(ws) + 1, np.int64)
+            told = {span["at"] for span in spans if not span["presumed"]}
             for span in spans:
                 at, mask = span["at"], span["mask"]
-                p = at + np.array([b for b in range(mask.bit_length()) if mask >> b & 1])
+                if span["presumed"] and at in told:
+                    continue
+                p = at + np.array([b for b in range(mask.bit_length()) if mask >> b & 1], np.int64)
                 np.add.at(change, p, 1)
                 np.add.at(change, p + length, -1)
             stay = np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()
+            if len(stay) == len(ws):
+                continue
             kept = b" ".join([ws[i] for i in stay])
             out.append((key, len(ws) - len(stay), hashlib.sha256(kept).digest(), kept.decode()))
-        yield batch_of(schema, **dict(zip(["text_key", "n_removed", "sha", "kept_text"], zip(*out))))
+        if out:
+            yield batch_of(schema, **dict(zip(["text_key", "n_removed", "sha", "kept_text"], zip(*out))))
 
 
 def repeated_runs(
@@ -207,12 +215,12 @@ def repeated_runs(
         listed.groupBy("anchor")
         .agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("times").alias("most"), F.sum("times").alias("places"))
         .filter("low != high or most > 1")
-        .select("anchor", F.when(F.col("places") > hot, F.ceil(F.col("places") * 10 / max(hot, 10))).otherwise(0).cast("long").alias("shares"))
+        .select("anchor", (F.col("places") > hot).alias("frequent"))
     )
     wanted = scratch.put(
         listed.drop("times").join(shared, "anchor")
         .groupBy("text_key")
-        .agg(F.min("id").alias("id"), F.collect_set(F.struct("anchor", "shares")).alias("listed")),
+        .agg(F.min("id").alias("id"), F.collect_set(F.struct("anchor", "frequent")).alias("listed")),
         "wanted",
     )
     packed = source.select("id", "text").mapInArrow(packed_texts, "id long, packed binary")
@@ -220,48 +228,40 @@ def repeated_runs(
     spans = scratch.put(
         spoken.select("packed", "text_key", "listed").mapInArrow(
             lambda it: _spanned(it, length, seed),
-            "anchor long, shares long, text_key long, at int, place int, windows binary",
+            "anchor long, frequent boolean, text_key long, at int, place int, size int, windows binary",
         ),
         "spans",
     )
     cold = (
-        spans.filter("shares = 0")
+        spans.filter("not frequent")
         .repartition("anchor")
         .sortWithinPartitions("anchor")
         .mapInArrow(_matched, "text_key long, at int, mask long")
     )
     # Spans of frequent anchors are told apart once; a span found twice repeats in all its
-    # windows, and only the windows of the others, eight bytes each, are looked for.
-    # The places of a span are listed by shares, so that only a span's last place in a share
-    # has to ask whether there are others.
-    spots = F.collect_list(F.struct("text_key", "at"))
+    # windows, and only the windows of the others, eight bytes each, are looked for. The least
+    # text and place are those of the span where it was found once.
+    often = spans.filter("frequent")
     shares = scratch.put(
-        spans.filter("shares > 0").withColumn("span", F.xxhash64("windows"))
-        .groupBy("anchor", "place", "span", "windows", F.pmod(F.xxhash64("text_key", "at"), "shares").alias("share"))
-        .agg(F.count("*").alias("n"), spots.alias("spots")),
+        often.groupBy("anchor", "place", "windows")
+        .agg(F.count("*").alias("n"), F.min("text_key").alias("text_key"), F.min("at").alias("at"), F.first("size").alias("size")),
         "shares",
     )
-    groups = scratch.put(
-        shares.groupBy("anchor", "place", "span", "windows").agg(F.sum("n").alias("n"), F.min(F.col("spots")[0]).alias("spot"))
-        .withColumn("last", F.expr("cast(length(windows) div 8 as int) - 1")),
-        "groups",
-    )
-    each = groups.withColumn("step", F.explode(F.sequence(F.lit(0), "last"))).select(
-        "anchor", "place", "span", "step", "n", "spot", (F.col("place") - F.col("step")).alias("before"),
+    each = shares.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("size") - 1))).select(
+        "anchor", "step", "n", "text_key", "at", (F.col("place") - F.col("step")).alias("before"),
         F.expr("substring(windows, step * 8 + 1, 8)").alias("window"),
     )
     again = scratch.put(each.groupBy("anchor", "before", "window").agg(F.sum("n").alias("n")).filter("n > 1").drop("n"), "again")
     single = (
         each.filter("n = 1").join(again, ["anchor", "before", "window"])
-        .groupBy("spot").agg(F.sum(F.expr("shiftleft(1L, step)")).alias("mask")).select("spot", "mask")
+        .groupBy("text_key", "at").agg(F.sum(F.expr("shiftleft(1L, step)")).alias("mask"))
     )
-    whole = F.expr("shiftleft(1L, cast(length(windows) div 8 as int)) - 1").alias("mask")
-    many = shares.filter("n > 1").select(F.explode("spots").alias("spot"), whole)
-    spread = groups.filter("n > 1").select("anchor", "place", "span")
-    lone = shares.filter("n = 1").join(spread, ["anchor", "place", "span"], "left_semi").select(F.col("spots")[0].alias("spot"), whole)
-    often = single.unionByName(many).unionByName(lone).select("spot.text_key", "spot.at", "mask")
+    alone = shares.filter("n = 1").select("text_key", "at", F.lit(0).cast("long").alias("mask"))
+    presumed = often.select("text_key", "at", F.expr("shiftleft(1L, size) - 1").alias("mask"))
+    marks = cold.unionByName(single).unionByName(alone).withColumn("presumed", F.lit(False))
     found = (
-        cold.unionByName(often).groupBy("text_key").agg(F.collect_list(F.struct("at", "mask")).alias("spans"))
+        marks.unionByName(presumed.withColumn("presumed", F.lit(True)))
+        .groupBy("text_key").agg(F.collect_list(F.struct("at", "mask", "presumed")).alias("spans"))
     )
     schema = pa.schema([("text_key", pa.int64()), ("n_removed", pa.int64()), ("sha", pa.binary()), ("kept_text", pa.string())])
     cut = found.join(spoken.select("text_key", "id", "packed"), "text_key").select("packed", "text_key", "spans")

@@ -453,3 +453,28 @@ def test_a_worker_keeps_one_object(monkeypatch):
     per_worker(("b",), dict)
     held = sys.modules["_held_by_this_worker"].__dict__.values()
     assert not any(x is first for x in held)
+
+
+def test_places_of_frequent_spans_are_not_handed_out_again(spark, monkeypatch):
+    """Spans found once, in part or not at all elsewhere, are told; the places of all others are not listed or exploded."""
+    rng = random.Random(5)
+    length, passage = 12, [f"p{i}" for i in range(80)]
+    rows = []
+    for i in range(240):
+        words = list(passage)
+        for _ in range(i % 4):
+            words[rng.randrange(80)] = f"own{i}"
+        rows.append((i, " ".join([*words, *(f"x{i}y{j}" for j in range(i % 7))])))
+    kept = {}
+    put = Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, frame, name: kept.setdefault(name, put(self, frame, name)))
+    got = {r["doc_id"]: r for r in repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"), length=length, hot=20).collect()}
+    split = {i: t.encode().split() for i, t in rows}
+    seen = collections.Counter(tuple(w[p : p + length]) for w in split.values() for p in range(len(w) - length + 1))
+    for i, w in split.items():
+        gone = {q for p in range(len(w) - length + 1) if seen[tuple(w[p : p + length])] > 1 for q in range(p, p + length)}
+        left = b" ".join(x for q, x in enumerate(w) if q not in gone)
+        assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (len(gone), hashlib.sha256(left).hexdigest())
+    shares = kept["shares"]
+    assert "array" not in str(shares.dtypes)
+    assert shares.filter("n > 1").count() and shares.filter("n = 1").count()
