@@ -35,7 +35,18 @@ SHARD_ROWS = 100_000
 CACHE_BYTES = 160 << 20
 
 # A word that ends in a letter and then punctuation: both parts are tokenised apart.
-_TAIL = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,!?;:*$&%#|]+)", re.S)
+_TAIL = b".,!?;:*$&%#|"
+_ACCENTED = re.compile(rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]\Z")
+
+
+class Known(dict):
+    """Ids by word; a word that is not there yet gets a place in ``new`` that is filled later."""
+
+    def __init__(self):
+        self.new: dict[bytes, bytearray] = {}
+
+    def __missing__(self, word: bytes) -> bytearray:
+        return self.new.setdefault(word, bytearray())
 
 
 class WordIds:
@@ -43,38 +54,44 @@ class WordIds:
 
     Such a tokenizer never joins across white space, so a text's ids are its words' ids
     in a row. New words are encoded many at a time: letters alone, each one piece whose last
-    id ends a word, with spaces between, all others parted by a special token.
+    id ends a word, with spaces between, all others parted by a special token. Words of a to z
+    are what the tokenizer's own splitting leaves as they are, so its model gets them at once.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.mark = "<|endoftext|>"
         self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known = Known()
         self.held = 0
 
     def _cut(self, group: list[bytes], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
         raw = ids.tobytes()
-        self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(group, starts.tolist(), stops.tolist(), strict=True))
+        self.known.update((w, raw[a:b]) for w, a, b in zip(group, (4 * starts).tolist(), (4 * stops).tolist(), strict=True))
 
     def _encode(self, new: list[bytes]) -> None:
-        apart, letters = [], []
+        apart, plain, letters = [], [], []
         for w in new:
-            if b"<|" not in w:
-                (letters if w.isalpha() or w.decode().isalpha() else apart).append(w)
-        groups = [letters[i : i + 256] for i in range(0, len(letters), 256)]
-        joined = [b" ".join(g).decode() for g in groups]
-        for group, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(got.ids, np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(group):  # every word ends at least once, so each has ended once
-                self._cut(group, ids, np.r_[0, stops[:-1]], stops)
-            else:
-                apart += group
+            if w.isalpha() and w.islower():
+                plain.append(w)
+            elif b"<|" not in w:
+                (letters if w.decode().isalpha() else apart).append(w)
+        for tokenizer, some in ((self.plain, plain), (self.tokenizer, letters)):
+            groups = [some[i : i + 256] for i in range(0, len(some), 256)]
+            joined = [b" ".join(g).decode() for g in groups]
+            for group, got in zip(groups, tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                ids = np.array(got.ids, np.uint32)
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                if len(stops) == len(group):  # every word ends at least once, so each has ended once
+                    self._cut(group, ids, np.r_[0, stops[:-1]], stops)
+                else:
+                    apart += group
         groups = [apart[i : i + 256] for i in range(0, len(apart), 256)]
         joined = [self.mark.join(w.decode() for w in g) for g in groups]
         for group, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
@@ -91,18 +108,29 @@ class WordIds:
             self.known.clear()
             self.held = 0
         before = len(self.known)
-        new = seen.difference(self.known)
-        parts = {w: m.groups() for w in new if b"<|" not in w and (m := _TAIL.fullmatch(w))}
-        self._encode(sorted({x for pair in parts.values() for x in pair}.union(new.difference(parts)).difference(self.known)))
-        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in parts.items())
-        self.held += 170 * (len(self.known) - before) + sum(2 * len(w) for w in new)  # with the objects' own size
+        new = [w for w in seen if w not in self.known]
+        parts, some = {}, set()
+        for w in new:
+            head = w.rstrip(_TAIL)
+            if len(head) < len(w) and (head[-1:].islower() or _ACCENTED.search(head)) and b"<|" not in w:
+                parts[w] = pair = head, w[len(head) :]
+                some.update(pair)
+            else:
+                some.add(w)
+        self._encode([w for w in some if w not in self.known])
+        get = self.known.get
+        self.known.update([(w, get(a) + get(b)) for w, (a, b) in parts.items()])
+        self.held += 170 * (len(self.known) - before) + 2 * sum(map(len, new))  # with the objects' own size
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.encode().lower().split() for t in texts]
-        self.learn(set().union(*split))
-        get = self.known.__getitem__
-        for ws in split:
-            yield b"".join(map(get, ws))
+        found = [list(map(self.known.__getitem__, ws)) for ws in split]
+        new, self.known.new = self.known.new, {}
+        self.learn(set(new))
+        for w, place in new.items():
+            place += self.known.get(w)
+        for ids in found:
+            yield b"".join(ids)
 
 
 def cut(tokens: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[int]:

@@ -478,3 +478,20 @@ def test_places_of_frequent_spans_are_not_handed_out_again(spark, monkeypatch):
     shares = kept["shares"]
     assert "array" not in str(shares.dtypes)
     assert shares.filter("n > 1").count() and shares.filter("n = 1").count()
+
+
+def test_words_keep_their_ids_when_the_cache_is_emptied(monkeypatch):
+    """Words of a to z go to the model at once; ids stay those of whole texts, however often words are forgotten."""
+    from fleetspark.llm import packing
+
+    coder = packing.WordIds(tokenizer_file("word_bpe_49k.json"))
+    assert coder.plain.normalizer is None
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzéßÉİ"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randrange(1, 12))) + rng.choice(["", "", ".", "?!", "'s", "é,", "1"]) for _ in range(300)) for _ in range(6)]
+    texts += ["", " \n", "ABC abc Abc.", ".,! a. é. 'll", "don't <|endoftext|>. a<|b"]
+    for most in (packing.CACHE_BYTES, 0):
+        monkeypatch.setattr(packing, "CACHE_BYTES", most)
+        for _ in range(2):
+            for text, raw in zip(texts, coder.texts(texts), strict=True):
+                assert np.frombuffer(raw, "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
