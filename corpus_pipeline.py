@@ -1,11 +1,15 @@
 """Five stages from raw documents to packed sequences; each applies one operator.
 
 A stage reads its predecessor's whole output, which was written as Parquet. All but the
-last return the columns of documents.
+last return the columns of documents. Calling a stage sets the session's
+spark.sql.execution.arrow.maxRecordsPerBatch to BATCH_ROWS at most.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,24 @@ from fleetspark.llm.queries import tokenizer_file
 from fleetspark.llm.substring import repeated_runs
 
 
+#: Rows that travel to or from a Python worker at a time. They hold whole texts; executors
+#: keep the native memory of the largest batches from stage to stage.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose result, which the caller computes, goes through Python in batches of BATCH_ROWS at most."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+            spark.conf.set(_ROWS, BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _free(docs: DataFrame, name: str) -> str:
     """A column name that the documents do not have."""
     while name.lower() in map(str.lower, docs.columns):
@@ -25,6 +47,7 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
+@in_small_batches
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts.
 
@@ -60,6 +83,7 @@ def _kept_rows(docs: DataFrame, keyed: DataFrame, key: str, marks: DataFrame) ->
     return rows.filter(~F.col(again)).unionByName(one).select(*docs.columns)
 
 
+@in_small_batches
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id; a NULL text counts as empty, NULL ids come last."""
     source = docs.select(F.col("doc_id"), "text")
@@ -73,12 +97,14 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return rows.filter(F.col(one)).unionByName(some).select(*docs.columns)
 
 
+@in_small_batches
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates; NULL and empty texts are one class."""
     keyed, key = _with_key(docs)
     return _kept_rows(docs, keyed, key, near_duplicates(keyed, id_col=key))
 
 
+@in_small_batches
 def without_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the runs of 35 or more words that also stand elsewhere.
 
@@ -96,6 +122,7 @@ def without_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return changed.select(*docs.columns)
 
 
+@in_small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences; a NULL or empty text is its end id alone."""
     return pack(docs, tokenizer_file("word_bpe_49k.json"))

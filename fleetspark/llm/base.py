@@ -125,6 +125,12 @@ def per_worker(key: tuple, make: Callable[[], object]):
     return held["object"]
 
 
+def forget() -> None:
+    """Let go of what ``per_worker`` keeps in this Python worker, in steps that need nothing kept."""
+    if "_held_by_this_worker" in sys.modules:
+        sys.modules["_held_by_this_worker"].__dict__.clear()
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
     """Rows of a batch in slices of a bounded number of characters; one text is never cut."""
     start, size, held = 0, 0, []

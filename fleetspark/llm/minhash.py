@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspark.llm.base import Scratch, batch_of, chunks, hashed, mixed, packed_texts, rolling, signed, words
+from fleetspark.llm.base import Scratch, batch_of, chunks, forget, hashed, mixed, packed_texts, rolling, signed, words
 from fleetspark.llm.graph import components
 
 SHINGLE = 5
@@ -121,10 +121,19 @@ def _node(ws: list[bytes]) -> bytes:
     return hashlib.md5(b" ".join(ws)).digest()
 
 
+def _packed_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, node, packed), texts compressed."""
+    for batch in batches:
+        for packed in packed_texts([batch]):
+            nodes = pa.array([_node(words(t)) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed.column("id"), nodes, packed.column("packed")], names=["id", "node", "packed"])
+
+
 def word_scale(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and weights of the words in over a thousandth of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for _, texts in chunks(batch):
                 each = [set(words(t)) for t in texts]
@@ -353,18 +362,9 @@ def near_duplicates(
     central = buckets.groupBy("node").agg(F.sum("size").alias("rank"))
     firsts = [F.first(c).alias(c) for c in ("bands", "samples", "total")]
     nodes = scratch.put(central.join(sketch.groupBy("node").agg(F.min("id").alias("id"), *firsts), "node"), "nodes")
-    packed = source.mapInArrow(packed_texts, "id long, packed binary")
-
-    def same_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opener = zstandard.ZstdDecompressor()
-        for batch in batches:
-            pairs = zip(batch.column("node").to_pylist(), batch.column("packed").to_pylist())
-            yield batch.filter(pa.array([_node(words(opener.decompress(p).decode())) == n for n, p in pairs], pa.bool_()))
-
-    texts = scratch.put(
-        nodes.select("id", "node").join(packed, "id").select("node", "packed").mapInArrow(same_text, "node binary, packed binary"),
-        "texts",
-    )
+    # the node travels with the text, which tells texts of one id apart without another worker for each task
+    packed = source.mapInArrow(_packed_nodes, "id long, node binary, packed binary")
+    texts = scratch.put(nodes.select("id", "node").join(packed, ["id", "node"]).select("node", "packed"), "texts")
 
     def compared(pairs: DataFrame) -> DataFrame:
         sizes = pairs.groupBy("b").count()

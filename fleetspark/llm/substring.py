@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspark.llm.base import Scratch, batch_of, chunks, hashed, mixed, packed_texts, rolling, signed, words
+from fleetspark.llm.base import Scratch, batch_of, chunks, forget, hashed, mixed, packed_texts, rolling, signed, words
 
 LENGTH = 35
 SEED = 6
@@ -67,6 +67,7 @@ def _windows(split: list[list[bytes]], length: int, seed: int):
 
 
 def _anchored(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         for first, texts in chunks(batch):
             split = [words(t) for t in texts]

@@ -2,9 +2,12 @@
 
 import corpus_pipeline
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from fleetspark.llm import minhash
+from fleetspark.llm.base import forget, per_worker
 from fleetspark.llm.minhash import near_duplicates
 from fleetspark.llm.quality import quality_scores
 
@@ -103,3 +106,44 @@ def test_quality_keeps_other_columns(spark):
     docs = odd(spark)
     kept = left(corpus_pipeline.good_documents(spark, docs, SF), docs.columns)
     assert set(kept) <= set(ODD)
+
+
+def test_stages_send_small_batches_to_python(spark):
+    def largest():
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+        return spark.range(2500).coalesce(1).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(name, "10000")
+            stage(spark, odd(spark), SF)
+            assert largest() <= corpus_pipeline.BATCH_ROWS, stage
+        spark.conf.set(name, "7")
+        corpus_pipeline.packed(spark, odd(spark), SF)
+        assert largest() == 7
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_near_duplicates_need_one_worker_a_task(spark, monkeypatch):
+    plans, put = {}, minhash.Scratch.put
+
+    def told(self, frame, name):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        return put(self, frame, name)
+
+    monkeypatch.setattr(minhash.Scratch, "put", told)
+    near_duplicates(odd(spark))
+    assert plans["texts"].count("MapInArrow") == 1 and max(p.count("MapInArrow") for p in plans.values()) == 1
+
+
+def test_a_worker_forgets_what_later_steps_do_not_use():
+    kept = per_worker(("test",), list)
+    assert per_worker(("test",), list) is kept
+    forget()
+    assert per_worker(("test",), list) is not kept
